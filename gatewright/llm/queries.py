@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import decontaminate, minhash, mixing
+from gatewright.llm import decontaminate, minhash, mixing, secret_scan
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
+    "op9_secret_scan": op9_secret_scan,
     "op2_decontamination": op2_decontamination,
     "op3_source_mixing": op3_source_mixing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
