@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import decontaminate, minhash, mixing, secret_scan
+from gatewright.llm import decontaminate, minhash, mixing, secret_scan, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.toxicity(docs, labels)
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op2_decontamination": op2_decontamination,
     "op3_source_mixing": op3_source_mixing,
