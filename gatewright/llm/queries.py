@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import decontaminate, minhash, mixing, secret_scan, toxicity
+from gatewright.llm import decontaminate, html_extract, minhash, mixing, secret_scan, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op5_html_extraction": op5_html_extraction,
     "op10_toxicity": op10_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op2_decontamination": op2_decontamination,
