@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import decontaminate, html_extract, minhash, mixing, secret_scan, toxicity
+from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op10_toxicity": op10_toxicity,
     "op9_secret_scan": op9_secret_scan,
@@ -43,6 +48,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r(vec_id, reached) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached
+        ), c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1
+        ), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op2_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
