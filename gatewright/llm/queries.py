@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, toxicity
+from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, substring, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,13 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op10_toxicity": op10_toxicity,
@@ -48,6 +54,22 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), g AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, unnest(list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i+34], ' ')))) AS w
+            FROM d WHERE len(ws) >= 35
+        ), r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS n FROM g
+        ), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r WHERE n >= 2
+        ), w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d
+        ), k AS (
+            SELECT w.doc_id, count(*) AS n_words, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (c.p IS NULL) AS kept
+            FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.p = c.p GROUP BY 1
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op1_embedding_near_dedup": r"""
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

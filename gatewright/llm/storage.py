@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +32,9 @@ def forget(df: DataFrame) -> None:
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect garbage now: shuffle files of finished jobs are deleted only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
