@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, substring, toxicity
+from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, substring, suffix_array, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
