@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, secret_scan, substring, suffix_array, toxicity
+from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, quality, secret_scan, substring, suffix_array, toxicity
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.quality(docs, labels)
+
+
 QUERIES = {
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
