@@ -3,8 +3,8 @@
 Labelled rows (a sample of at most MAX_LABELLED, taken by a hash of the id) are dealt by another
 hash into folds. A lexicon holds the terms (whole words and their first 4 to 7 bytes, so that
 inflected forms count) whose presence goes with the label far beyond chance; a row that trees or calibration
-learn from gets its features from a lexicon learned without its fold. A quarter of the rows calibrates.
-Only the text is an input of a score.
+learn from gets its features from a lexicon learned without its fold, and calibration sees the margins of
+trees that were grown without its fold. Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -200,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, max_labelled / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4 * FOLDS)).cast("int")
-    sample = written(texts.join(F.broadcast(known), "doc_id").withColumn("part", part).withColumn("fold", part % FOLDS), "labelled")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)).cast("int")
+    sample = written(texts.join(F.broadcast(known), "doc_id").withColumn("part", part).withColumn("fold", F.col("part")), "labelled")
     sums = [F.sum(c).alias(c) for c in _COUNTS]
     counts = sample.select("text", "y", "fold").mapInArrow(_term_counts, "term long, " + ", ".join(f"{c} long" for c in _COUNTS))
     counts = written(counts.groupBy("term").agg(*sums).where(sum(F.col(c) for c in _COUNTS[1::2]) >= 4), "terms")
@@ -221,9 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y, parts = made["y"].to_numpy(float), made["part"].to_numpy()
     order = np.lexsort((*x.T, y, parts))
     x, y, parts = x[order], y[order], parts[order]
-    rest = parts // FOLDS == 3
-    trees = BoostedTrees().fit(x[~rest], y[~rest])
-    return Scorer(*_lexicon(counts, sizes, None), trees, Isotonic().fit(trees.margin(x[rest]), y[rest]))
+    margins = np.zeros(len(y))
+    for f in range(FOLDS):
+        own = parts == f
+        margins[own] = BoostedTrees().fit(x[~own], y[~own]).margin(x[own])
+    return Scorer(*_lexicon(counts, sizes, None), BoostedTrees().fit(x, y), Isotonic().fit(margins, y))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -242,3 +244,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     scored = texts.mapInArrow(run, f"doc_id {id_type}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that toxicity() would predict 1 for; all columns stay and no row moves."""
+    scorer = fit(docs, labels, id_col, text_col, label_col)
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(scorer.score(batch.column(text).cast(pa.string())) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
