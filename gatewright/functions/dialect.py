@@ -53,9 +53,14 @@ def rewrite(text: Column, pattern: str, change) -> Column:
     """Replaces every match by change(match): a closure replacement without Python."""
     hits = found(text, pattern)
     gaps = pieces_between(text, pattern)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(change(F.get(hits, i)), F.lit(""))))
+    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(hits), change(F.get(hits, i))).otherwise(F.lit(""))))
     return F.when(matches(text, pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def settled(column: Column) -> Column:
+    """The column, in a form that filters above it aren't rewritten through: they would compute it again and again."""
+    return F.when(F.spark_partition_id() >= 0, column)

@@ -50,21 +50,27 @@ def _words(words: Sequence[str]) -> str:
 
 
 def _longest(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.array_max(F.transform(D.found(text, pattern), D.utf16_length)), F.lit(0))
+    runs = D.found(text, pattern)
+    astral = D.matches(text, r"[\x{10000}-\x{10FFFF}]")
+    return F.coalesce(F.when(astral, F.array_max(F.transform(runs, D.utf16_length))).otherwise(F.array_max(F.transform(runs, F.length))), F.lit(0))
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character. Characters are sorted once and counted by the lengths of their runs."""
+    """Bits per character; shares are of UTF-16 units. A text of few different characters is searched for each of them;
+    one of many has its characters sorted and counted by the lengths of their runs."""
     size = D.utf16_length(text).cast("double")
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    part = lambda n: -n / size * F.log2(n / size)
+    few = F.aggregate(F.array_distinct(each), F.lit(0.0), lambda bits, c: bits + part((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double")))
     zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("bits"))
-    closed = lambda acc: F.when(acc["n"] > 0, acc["bits"] - acc["n"] / size * F.log2(acc["n"] / size)).otherwise(acc["bits"])
+    closed = lambda acc: F.when(acc["n"] > 0, acc["bits"] + part(acc["n"])).otherwise(acc["bits"])
 
     def step(acc: Column, c: Column) -> Column:
         same = acc["last"] == c
         return F.struct(c.alias("last"), F.when(same, acc["n"] + 1).otherwise(F.lit(1.0)).alias("n"), F.when(same, acc["bits"]).otherwise(closed(acc)).alias("bits"))
 
-    return F.when(size > 0, F.aggregate(chars, zero, step, closed)).otherwise(F.lit(0.0))
+    many = F.aggregate(F.array_sort(each), zero, step, closed)
+    return F.when(size > 0, F.when(F.size(F.array_distinct(each)) <= 300, few).otherwise(many)).otherwise(F.lit(0.0))
 
 
 def _proximity(tokens: Column) -> Column:
@@ -88,22 +94,23 @@ def features(df: DataFrame, text_col: str = "text", fired_col: str | None = None
     from fired_col if given). Null texts give nulls."""
     t = F.col("_ft")
     df = df.withColumn("_ft", F.col(text_col)).withColumn(f"{out_col}_fired", F.col(fired_col) if fired_col else fired(t))
-    df = df.withColumns({"_tok": D.found(t, r"[\p{L}\p{N}]+")})
+    df = df.withColumns({"_tok": D.found(t, r"[\p{L}\p{N}]+"), "_bits": _entropy(t)})
     n_tokens = F.greatest(F.size("_tok"), F.lit(1)).cast("double")
+    foreign, near = D.matches(t, _OTHER_SCRIPT), F.when(D.matches(t, _words(VERBS)), D.matches(t, _words(TARGETS))).otherwise(F.lit(False))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     other = F.size(F.filter("_tok", lambda w: D.matches(w, _OTHER_SCRIPT)))
     latin = F.size(F.filter("_tok", lambda w: ~D.matches(w, _OTHER_SCRIPT) & D.matches(w, "[A-Za-z]")))
     letters, upper = D.count(t, "[A-Za-z]"), D.count(t, "[A-Z]")
     families = F.array_distinct(F.transform(F.filter(f"{out_col}_fired", lambda r: r.isin(*FAMILIES)), lambda r: F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), r)))
     values = {
-        "char_entropy": _entropy(t),
+        "char_entropy": F.col("_bits"),
         "role_token_density": (D.count(t, f"(?i){TEMPLATE_TOKENS}") + D.count(t, ROLE_LINE)) / n_tokens * 100,
         "override_verb_ratio": D.count(t, _words(VERBS)) / n_tokens,
-        "override_target_proximity": _proximity(F.col("_tok")),
-        "script_mix_frac": other / F.greatest(latin + other, F.lit(1)),
+        "override_target_proximity": F.when(near, _proximity(F.col("_tok"))).otherwise(1.0),
+        "script_mix_frac": F.when(foreign, other / F.greatest(latin + other, F.lit(1))).otherwise(0.0),
         "log_len": F.log10(chars + 1),
         "token_count_log": F.log10(n_tokens + 1),
-        "mean_token_len": F.aggregate("_tok", F.lit(0.0), lambda s, w: s + D.utf16_length(w)) / n_tokens,
+        "mean_token_len": D.utf16_length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) / n_tokens,
         "uppercase_ratio": F.when(letters > 0, upper / letters).otherwise(0.0),
         "punct_ratio": D.count(t, r"[!-/:-@\[-`{-~]") / chars,
         "longest_nonspace_run": _longest(t, f"{D.NON_SPACE}+") / 80,
@@ -115,8 +122,8 @@ def features(df: DataFrame, text_col: str = "text", fired_col: str | None = None
         "b64_run_norm": _longest(t, "[A-Za-z0-9+/=]+") / 60,
         "l4_rule_count": F.size(f"{out_col}_fired"),
     }
-    df = df.withColumn(out_col, F.when(t.isNotNull(), F.array(*[values[n].cast("double") for n in NAMES])))
-    return df.drop("_ft", "_tok")
+    df = df.withColumn(out_col, D.settled(F.when(t.isNotNull(), F.array(*[values[n].cast("double") for n in NAMES]))))
+    return df.drop("_ft", "_tok", "_bits")
 
 
 def standardized(vector: Column) -> Column:

@@ -128,7 +128,7 @@ def confusable_residue(text: Column) -> Column:
     lengths = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     start = lengths(F.slice(gaps, 1, first["place"] + 1)) + lengths(F.slice(tokens, 1, first["place"]))
     found = F.struct(first["token"].alias("token"), start.alias("start"), (start + F.length(first["token"])).alias("end"))
-    return F.when(has_other & (F.size(spoof) > 0) & rare, found)
+    return F.when(has_other, F.when((F.size(spoof) > 0) & rare, found))
 
 
 def risks(text: Column, rules: Sequence[Rule] = BUILTIN_RULES) -> Column:
