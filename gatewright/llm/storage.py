@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (a local test), a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gatewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gatewright-")
+        folder = _OWN[app]
     return folder
 
 
@@ -22,7 +28,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage is cut and a lost executor costs no rework."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gatewright-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # the table replaces them
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -34,7 +41,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect garbage now: shuffle files of finished jobs are deleted only then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting, while jobs inside run."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs run inside send Python at most so many rows at once; for rows that hold many texts."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gatewright.llm import winnow
 from gatewright.llm.bytestext import pieces, shingle_hash, word_hash, words
-from gatewright.llm.storage import release, written
+from gatewright.llm.storage import batches_of, written
 
 LENGTH, GRAM = 35, 8
 
@@ -141,18 +141,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     parted, one = winnow.with_parts(docs, id_col, text_col)
     dealt = one.mapInArrow(_anchors(length, gram), winnow.ANCHORS).repartition("h").sortWithinPartitions("h", "seg", "doc_id", "at")
-    found = written(dealt.mapInArrow(winnow.shared_runs(by_document=False), winnow.FOUND), "shared")
-    release(docs.sparkSession)
+    with batches_of(docs.sparkSession, 4000):
+        found = written(dealt.mapInArrow(winnow.shared_runs(by_document=False), winnow.FOUND), "shared")
     opened = found.where("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("at", "weight")).alias("anchors"))
-    edges = written(one.join(opened, "doc_id").select("doc_id", "part", "text", "anchors").mapInArrow(_edges(length), "e1 long, e2 long, doc_id long, place long, weight long"), "edges")
-    release(docs.sparkSession)
+    with batches_of(docs.sparkSession, 1000):
+        edges = written(one.join(opened, "doc_id").select("doc_id", "part", "text", "anchors").mapInArrow(_edges(length), "e1 long, e2 long, doc_id long, place long, weight long"), "edges")
     times = edges.groupBy("e1", "e2").agg(F.sum("weight").alias("times")).where("times >= 2").select("e1", "e2")
     single = edges.where("weight = 1").join(times, ["e1", "e2"], "left_semi").select(F.xxhash64("e1", "e2").alias("path"), "doc_id", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
     place = (F.shiftright("at", 48) * (1 << 32)) + F.shiftright("at", 16).bitwiseAND((1 << 32) - 1)
     whole = found.where("covered").select(F.col("seg").alias("path"), "doc_id", place.alias("first"), F.shiftright("at", 8).bitwiseAND(255).alias("n"))
     spans = compacted(whole.union(single)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     spans = written(spans, "spans")
-    release(docs.sparkSession)
     texts = parted.join(spans, "doc_id", "left").select("doc_id", "part", "text", "spans")
     return texts.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
 
