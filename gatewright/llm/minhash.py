@@ -7,9 +7,8 @@ below 2 * (1 - s**band)**tables: 2e-5 at 0.8 with the defaults.
 
 Equal shingle sets collapse to one representative before any link is made, and bands that one
 representative alone has are dropped before pairs of bands are formed; neither loses a link.
-Inside a bucket, pairs are not listed outright: members meet the bucket's smallest one, then (only
-members that are still apart) a pivot of each bucket, and only what is still in different components
-meets pair by pair, within the size bound that the threshold implies.
+Inside a bucket, pairs are not listed outright: members meet the bucket's smallest one; what is then
+still in different components meets in blocks of bounded size, compared as matrices inside a task.
 """
 
 from __future__ import annotations
@@ -24,12 +23,14 @@ from pyspark.sql import types as T
 
 from gatewright.llm.bytestext import LOWER, mix, pieces, seeds, shingle_hash, word_hash, words
 from gatewright.llm.components import components
-from gatewright.llm.storage import written
+from gatewright.llm.storage import batches_of, written
 
-WIDTH, PERCENT, BAND, TABLES = 4, 80, 3, 16
+WIDTH, PERCENT, BAND, TABLES = 4, 80, 4, 22
+#: Documents of a block, and columns of a product of incidence matrices.
+BLOCK, COLUMNS = 64, 8192
 #: Of 2 * TABLES * BAND minimum hashes, pairs with fewer equal ones than this share aren't confirmed:
-#: at similarity 0.8 that is seven standard deviations below the mean (1e-11).
-LEAST_EQUAL = 0.52
+#: at similarity 0.8 that is six standard deviations below the mean (1e-9).
+LEAST_EQUAL = 0.6
 
 _SIGNED = T.StructType(
     [
@@ -95,6 +96,94 @@ def _sign(width: int, band: int, tables: int):
     return run
 
 
+def _exact(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one block with every set of the other, by products of incidence columns."""
+    both = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+    out = np.zeros((len(sets_a), len(sets_b)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        some = both[at : at + COLUMNS]
+        sides = []
+        for sets in (sets_a, sets_b):
+            side = np.zeros((len(sets), len(some)), np.float32)
+            for i, s in enumerate(sets):
+                own = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], side="right")]
+                k = np.searchsorted(some, own)
+                side[i, k[some[k] == own]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _blocks_alike(least: float, percent: int):
+    """Keeps pairs of blocks in which some two members of different components may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                x, y = (batch.column(k)[i].values for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(side.field("sketch").to_pylist()), np.uint8).reshape(len(side), -1) for side in (x, y))
+                (na, ra), (nb, rb) = ((side.field("n_shingles").to_numpy(), side.field("root").to_numpy()) for side in (x, y))
+                equal = np.zeros((len(a), len(b)), np.int32)
+                for k in range(a.shape[1]):
+                    equal += a[:, k, None] == b[None, :, k]
+                sized = 100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None])
+                good.append(bool((sized & (ra[:, None] != rb[None]) & (equal >= least * a.shape[1])).any()))
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _block_links(width: int, percent: int):
+    """One confirmed link for every two components that meet in a pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for row in range(batch.num_rows):
+                x, y = (batch.column(k)[row].values for k in (2, 3))
+                sets = [[g[b[i] : b[i + 1]] for _, g, b in shingle_sets(side.field("text"), width) for i in range(len(b) - 1)] for side in (x, y)]
+                na, nb = (np.array([len(s) for s in side]) for side in sets)
+                ra, rb = (side.field("root").to_numpy() for side in (x, y))
+                shared = _exact(*sets)
+                good = (shared > 0) & (100 * shared >= percent * (na[:, None] + nb[None] - shared)) & (ra[:, None] != rb[None])
+                found |= {(int(ra[i]), int(rb[j])) for i, j in zip(*np.nonzero(good), strict=True)}
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _between_blocks(apart: DataFrame, sketches: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that share buckets, found between blocks of at most about BLOCK documents.
+
+    Documents whose buckets lead to the same smallest document share a block (members of one large component have blocks of
+    their own, which never meet each other). Blocks that meet in a bucket are compared by sketches, then
+    exactly, as matrices inside one task: no pair of documents is ever a row.
+    """
+    placed = apart.groupBy("rep", "root").agg(F.min("first").alias("least"))
+    sizes = placed.groupBy("least", "root").agg(F.count("*").alias("same"))
+    placed = placed.join(sizes, ["least", "root"]).withColumn("pure", F.when(F.col("same") >= BLOCK // 2, F.col("root")))
+    counts = placed.groupBy("least", F.coalesce("pure", F.lit(-1)).alias("kind")).agg(F.count("*").alias("n"))
+    placed = placed.withColumn("kind", F.coalesce("pure", F.lit(-1))).join(counts, ["least", "kind"])
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    placed = written(placed.select("rep", "root", "pure", F.xxhash64("least", "kind", chunk).alias("block")), "blocks")
+    met = apart.select("key", "rep").join(placed.select("rep", "block", "pure"), "rep").select("key", "block", "pure").distinct()
+    other = met.select("key", F.col("block").alias("y"), F.col("pure").alias("pure2"))
+    pairs = met.join(other, "key").where("block <= y and (pure is null or pure2 is null or pure <> pure2)").select(F.col("block").alias("x"), "y").distinct()
+
+    def both(pairs: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
+        listed = members.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("members"))
+        with_x = pairs.join(listed.select(F.col("block").alias("x"), F.col("members").alias("mx")), "x")
+        return with_x.join(listed.select(F.col("block").alias("y"), F.col("members").alias("my")), "y").select("x", "y", "mx", "my")
+
+    drawn = both(pairs, placed.join(sketches, "rep"), ["root", "n_shingles", "sketch"])
+    with batches_of(apart.sparkSession, 64):
+        near = written(drawn.mapInArrow(_blocks_alike(LEAST_EQUAL, percent), "x long, y long"), "near-blocks")
+    texts = placed.join(bodies.withColumnRenamed("doc_id", "rep"), "rep")
+    with batches_of(apart.sparkSession, 8):
+        return written(both(near, texts, ["root", "text"]).repartition("x", "y").mapInArrow(_block_links(width, percent), "a long, b long").distinct(), "block-links")
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +224,8 @@ def near_duplicates(
     of docs is read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign(width, band, tables), _SIGNED), "signed")
+    with batches_of(docs.sparkSession, 1000):
+        signed = written(texts.mapInArrow(_sign(width, band, tables), _SIGNED), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
@@ -160,26 +250,19 @@ def near_duplicates(
         near = sized.select("a", "b", "sa", "sb").mapInArrow(_alike(LEAST_EQUAL), "a long, b long").distinct()
         with_b = near.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         both = with_b.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return written(both.select("a", "ta", "b", "tb").mapInArrow(_confirm(width, percent), "a long, b long"), "confirmed")
+        with batches_of(docs.sparkSession, 256):
+            return written(both.select("a", "ta", "b", "tb").mapInArrow(_confirm(width, percent), "a long, b long"), "confirmed")
 
     def apart(roots: DataFrame) -> DataFrame:
         """Buckets' members with their components, where a bucket still has several."""
-        rooted = keys.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        rooted = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.col("lo").alias("first"), F.coalesce("root", "rep").alias("root"))
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         return written(rooted.join(several, "key", "left_semi"), "apart")
 
     roots = components(confirmed(keys.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))))
     left = apart(roots)
     if not left.isEmpty():
-        pivots = left.groupBy("key").agg(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", "key")).alias("pivot"))
-        meet = left.join(pivots, "key").where("root <> pivot.root").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(meet)))
-        left = apart(roots)
-    if not left.isEmpty():
-        sized = left.join(sketches.select("rep", "n_shingles"), "rep")
-        other = sized.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"), F.col("n_shingles").alias("n2"))
-        meet = sized.join(other, "key").where(f"rep < rep2 and root <> root2 and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)")
-        found = confirmed(meet.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+        found = _between_blocks(left, sketches, bodies, width, percent)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     groups = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
