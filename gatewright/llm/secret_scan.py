@@ -169,8 +169,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """docs with every span of scan() replaced by mask; all columns and rows stay."""
-    tagged = written(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
-    found = scan(tagged.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text"))).where("size(all) > 0").select(F.col("doc_id").alias("_row"), F.col("all").alias("_spans"))
+    tagged = written(docs.withColumn("__gatewright_row", F.monotonically_increasing_id()), "tagged")
+    found = scan(tagged.select(F.col("__gatewright_row").alias("doc_id"), F.col(text_col).alias("text"))).where("size(all) > 0").select(F.col("doc_id").alias("__gatewright_row"), F.col("all").alias("__gatewright_spans"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -178,6 +178,6 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         marked = F.when(s["end"] > done["at"], F.concat(done["out"], kept, F.when(s["start"] >= done["at"], F.lit(mask)).otherwise(F.lit("")))).otherwise(done["out"])
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), marked.alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda done: F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(F.col(text_col)))))
-    joined = tagged.join(found, "_row", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col)))
+    clean = F.aggregate("__gatewright_spans", zero, step, lambda done: F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(F.col(text_col)))))
+    joined = tagged.join(found, "__gatewright_row", "left").withColumn(text_col, F.when(F.col("__gatewright_spans").isNotNull(), clean).otherwise(F.col(text_col)))
     return joined.select(*docs.columns)
