@@ -17,7 +17,7 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, width = x.shape
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(width)]
+        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) if n else np.zeros(0) for j in range(width)]
         binned = self._binned(x)
         share = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
         self.start, self.rounds = float(np.log(share / (1 - share))), []
