@@ -45,7 +45,8 @@ class Cascade:
         df = df.withColumns({"_band": band, "_b": seen})
         b, band = F.col("_b")["score"], F.col("_band")
         ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (a - self.allow_below) / (0.5 - self.allow_below)))
-        score = F.when(band, F.least(F.lit(1.0), a + (F.lit(1.0) - a) * b * self.gate * ramp)).otherwise(a)
+        raised = F.when(b.isNotNull(), F.least(F.lit(1.0), a + (F.lit(1.0) - a) * b * self.gate * ramp))  # least() passes nulls over
+        score = F.when(band, raised).otherwise(a)
         low = a < (0.5 if self.second is None else self.allow_below)
         stage = F.when(band, "l5b-escalated").when(low, "l5a-allow").otherwise("l5a-block")
         alone = f"cascade({scoring.VERSION};l5a-only)" if self.second is None else f"cascade({scoring.VERSION})"
@@ -57,7 +58,7 @@ class Cascade:
         fields = [F.col("_s").alias("score"), F.when(F.col("_s") >= 0.5, "INJECTION").when(F.col("_s").isNotNull(), "SAFE").alias("label"), version.alias("version"), F.col("_stage").alias("stage"), route.alias("route")]
         if self.with_reason:
             fields.append(why.alias("reason"))
-        fields.append(F.col("_b")["error"].alias("error"))
+        fields.append(F.when(band, F.col("_b")["error"]).alias("error"))
         df = df.withColumn(out_col, F.when(F.col("_vec").isNotNull(), F.struct(*fields)))
         if observe is not None:
             df = df.observe(observe, *[F.count_if(F.col("_stage") == s).alias(s) for s in ("l5a-allow", "l5a-block", "l5b-escalated")])

@@ -195,7 +195,7 @@ def anchored_windows(text: Column) -> Column:
     n = F.length(text)
     ends = F.array(F.substring(text, 1, WINDOW), F.substring(text, -WINDOW, WINDOW))
     middle = F.substr(text, (F.floor(n / 2) - WINDOW // 2 + 1).cast("int"), F.lit(WINDOW))
-    return F.when(n <= WINDOW, F.array(text)).when(n > MIDDLE_FROM, F.concat(ends, F.array(middle))).otherwise(ends)
+    return F.when(n <= WINDOW, F.array(text)).when(n > MIDDLE_FROM, F.concat(ends, F.array(middle))).when(n > WINDOW, ends)
 
 
 def sliding_windows(text: Column, full_tail: bool = False) -> Column:
@@ -206,7 +206,7 @@ def sliding_windows(text: Column, full_tail: bool = False) -> Column:
     windows = F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(WINDOW)))
     if full_tail:
         windows = F.when((n - WINDOW) % STRIDE != 0, F.concat(windows, F.array(F.substring(text, -WINDOW, WINDOW)))).otherwise(windows)
-    return F.when(n <= WINDOW, F.array(text)).otherwise(windows)
+    return F.when(n <= WINDOW, F.array(text)).when(n > WINDOW, windows)
 
 
 def whole_text(text: Column) -> Column:
@@ -258,7 +258,7 @@ def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
             problem = f"{type(e).__name__}: {e}"
         for windows in batches:
             if problem:
-                yield pd.DataFrame({"score": [None] * len(windows), "error": [problem if w is not None else None for w in windows]}).astype({"score": "float64"})
+                yield pd.DataFrame({"score": pd.Series([None] * len(windows), dtype=object), "error": [problem if w is not None else None for w in windows]})
                 continue
             flat = [(i, w) for i, ws in enumerate(windows) if ws is not None for w in ws]
             scores = np.full(len(windows), np.nan)
@@ -270,6 +270,6 @@ def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p = (p / p.sum(axis=1, keepdims=True))[:, contract.injection_logit_index]
                 np.fmax.at(scores, [i for i, _ in some], p)
-            yield pd.DataFrame({"score": scores, "error": [None] * len(scores)})
+            yield pd.DataFrame({"score": pd.Series([None if np.isnan(s) else float(s) for s in scores], dtype=object), "error": [None] * len(scores)})
 
     return lambda text: run(cut(text))
