@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gatewright.llm.storage import forget, written
 
 
+#: Links of a file; later rounds have no more links than the ones before.
+ROWS_A_FILE = 500_000
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node's neighbours move to the smallest of them and the node itself.
 
@@ -37,7 +41,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     edges = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        after = written(_star(_star(edges, small=False), small=True), "links")
+        moved = _star(_star(edges, small=False), small=True)
+        after = written(moved if state is None else moved.coalesce(max(1, -(-state[0] // ROWS_A_FILE))), "links")
         seen = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         forget(edges)
         edges = after

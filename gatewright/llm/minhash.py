@@ -27,7 +27,7 @@ from gatewright.llm.storage import batches_of, written
 
 WIDTH, PERCENT, BAND, TABLES = 4, 80, 4, 22
 #: Documents of a block, and columns of a product of incidence matrices.
-BLOCK, COLUMNS = 64, 8192
+BLOCK, COLUMNS = 256, 8192
 #: Of 2 * TABLES * BAND minimum hashes, pairs with fewer equal ones than this share aren't confirmed:
 #: at similarity 0.8 that is six standard deviations below the mean (1e-9).
 LEAST_EQUAL = 0.6
@@ -168,8 +168,12 @@ def _between_blocks(apart: DataFrame, sketches: DataFrame, bodies: DataFrame, wi
     chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
     placed = written(placed.select("rep", "root", "pure", F.xxhash64("least", "kind", chunk).alias("block")), "blocks")
     met = apart.select("key", "rep").join(placed.select("rep", "block", "pure"), "rep").select("key", "block", "pure").distinct()
+    sets = met.groupBy("key").agg(F.bit_xor(F.xxhash64("block")).alias("set"), F.count("*").alias("n"))
+    kept = sets.where("n > 1").groupBy("set", "n").agg(F.min("key").alias("key"))  # buckets of the same blocks say the same
+    met = met.join(kept, "key", "left_semi")
     other = met.select("key", F.col("block").alias("y"), F.col("pure").alias("pure2"))
-    pairs = met.join(other, "key").where("block <= y and (pure is null or pure2 is null or pure <> pure2)").select(F.col("block").alias("x"), "y").distinct()
+    pairs = met.join(other, "key").where("block < y and (pure is null or pure2 is null or pure <> pure2)").select(F.col("block").alias("x"), "y").distinct()
+    pairs = pairs.union(placed.where("pure is null").select("block").distinct().select(F.col("block").alias("x"), F.col("block").alias("y")))
 
     def both(pairs: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
         listed = members.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("members"))
@@ -180,7 +184,7 @@ def _between_blocks(apart: DataFrame, sketches: DataFrame, bodies: DataFrame, wi
     with batches_of(apart.sparkSession, 64):
         near = written(drawn.mapInArrow(_blocks_alike(LEAST_EQUAL, percent), "x long, y long"), "near-blocks")
     texts = placed.join(bodies.withColumnRenamed("doc_id", "rep"), "rep")
-    with batches_of(apart.sparkSession, 8):
+    with batches_of(apart.sparkSession, 2):
         return written(both(near, texts, ["root", "text"]).repartition("x", "y").mapInArrow(_block_links(width, percent), "a long, b long").distinct(), "block-links")
 
 
