@@ -13,9 +13,9 @@ import numpy as np
 END = 255
 
 
-def _spread(old: np.ndarray, fresh: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.empty(len(fresh), old.dtype)
-    out[~fresh] = old
+def _spread(old: np.ndarray, stay: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(stay), old.dtype)
+    out[stay] = old
     out[at] = values
     return out
 
@@ -26,8 +26,8 @@ def build(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sizes = np.diff(offsets)
     m = len(sizes)
     before = lambda text, start: np.where(start > 0, data[np.minimum(offsets[text] + np.maximum(start, 1) - 1, len(data) - 1)] if len(data) else END, END).astype(np.uint8)
-    text, start = np.arange(m, dtype=np.int32), sizes.astype(np.int32)
-    last, prefix = before(text, start), np.zeros(m, np.uint8)
+    last, prefix = before(np.arange(m), sizes), np.zeros(m, np.uint8)
+    owner = (np.arange(m, dtype=np.int64) << 32) + sizes  # text and start
     active, place = np.arange(m), np.arange(m)
     for j in range(1, int(sizes.max(initial=0)) + 1):
         still = sizes[active] >= j
@@ -46,7 +46,7 @@ def build(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
         def least(lo: np.ndarray, hi: np.ndarray, padded: np.ndarray = padded) -> np.ndarray:
             """1 + the minimum of prefix over lo to hi, both included."""
-            down = np.argsort(-lo, kind="stable")
+            down = np.argsort(lo)[::-1]  # so that the gaps between pairs cost nothing
             pairs = np.stack([lo[down], hi[down] + 1], axis=1).ravel()
             out = np.empty(len(lo), np.int64)
             out[down] = np.minimum.reduceat(padded, pairs)[::2]
@@ -58,15 +58,14 @@ def build(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if has_right.any():
             with_right[has_right] = least(place[has_right] + 1, right[has_right])
         at = m + mine
-        fresh = np.zeros(n + len(at), bool)
-        fresh[at] = True
-        begin = (sizes[active] - j).astype(np.int32)
-        prefix = _spread(prefix, fresh, at, with_left.astype(np.uint8))
+        stay = np.ones(n + len(at), bool)
+        stay[at] = False
+        begin = sizes[active] - j
+        prefix = _spread(prefix, stay, at, with_left.astype(np.uint8))
         next_at = at + 1
         inside = next_at < len(prefix)
         prefix[next_at[inside]] = with_right[inside].astype(np.uint8)
-        last = _spread(last, fresh, at, before(active, begin))
-        text = _spread(text, fresh, at, active.astype(np.int32))
-        start = _spread(start, fresh, at, begin)
+        last = _spread(last, stay, at, before(active, begin))
+        owner = _spread(owner, stay, at, (active << 32) + begin)
         place = at
-    return last, prefix, text, start
+    return last, prefix, owner >> 32, owner & 0xFFFFFFFF
