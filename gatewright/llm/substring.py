@@ -33,10 +33,11 @@ def _anchors(length: int, gram: int):
             for at, data, offsets in pieces(batch.column(2)):
                 starts, ends, bounds = words(data, offsets)
                 hashes = word_hash(data, starts, ends)
-                row, place, first, count = winnow.find_anchors(shingle_hash(hashes, gram), bounds, length, gram)
-                h = shingle_hash(hashes, gram)[place] >> np.uint64(16) if len(place) else np.zeros(0, np.uint64)
-                seg = winnow.runs_hash(winnow.unit_prefix(hashes), first, first + count - 1 + length) + (place - first).astype(np.uint64)
-                packed = winnow.pack(parts[at + row], first - bounds[row], count, place - first)
+                grams = shingle_hash(hashes, gram)
+                row, place, first, count = winnow.find_anchors(grams, bounds, length, gram)
+                row, h, first, count, off = winnow.join_anchors(row, place, first, count, grams[place] >> np.uint64(16))
+                seg = winnow.runs_hash(winnow.unit_prefix(hashes), first, first + count - 1 + length) + off.astype(np.uint64)
+                packed = winnow.pack(parts[at + row], first - bounds[row], count, off)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(seg.astype(np.int64)), pa.array(ids[at + row]), pa.array(packed)], names=["h", "seg", "doc_id", "at"])
 
     return run

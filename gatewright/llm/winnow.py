@@ -2,7 +2,7 @@
 
 A window is `length` consecutive units (bytes or words). Its anchor is the unit run of `gram` units with
 the smallest hash in it, so equal windows have equal anchors, wherever they stand. Each window belongs to
-one anchor; the windows of an anchor form a segment. Anchors are dealt by hash once: anchors alone in the
+one anchor; the windows of an anchor form a segment (those of equal anchors in a row share one). Anchors are dealt by hash once: anchors alone in the
 corpus end there, equal segments repeat as wholes, and only segments that differ although their anchors
 agree go on to be compared window by window.
 """
@@ -92,6 +92,26 @@ def find_anchors(grams: np.ndarray, bounds: np.ndarray, length: int, gram: int)
     return row[at], place[at], start[at], np.diff(np.append(at, len(row)))
 
 
+#: Windows of a segment, about; and the offset of a segment with several anchors.
+MOST_WINDOWS, SEVERAL = 200, 255
+
+
+def join_anchors(row: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring anchors of equal hash (of a word or phrase that is said again and again) become one segment of
+    at most MOST_WINDOWS windows and one anchor's more. Returns row, h, first window, number of windows, and the
+    anchor's offset (SEVERAL where there are more)."""
+    if not len(row):
+        return row, h, first, count, place
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    before = np.cumsum(count) - count
+    part = (before - before[new][np.cumsum(new) - 1]) // MOST_WINDOWS
+    new[1:] |= part[1:] != part[:-1]
+    at = np.flatnonzero(new)
+    several = np.diff(np.append(at, len(row))) > 1
+    return row[at], h[at], first[at], np.add.reduceat(count, at), np.where(several, SEVERAL, place[at] - first[at])
+
+
 class _Runs:
     """Streams anchors sorted by h, seg, doc_id, at. Between batches it keeps only the last run's own rows
     (those of its first document, or its first row), whatever the size of the run and of its h."""
@@ -121,15 +141,20 @@ class _Runs:
         if covered.any():
             yield True, [c[covered] for c in (h, seg, doc, at, weight)]
         last = run == run[-1]
-        go = own & several[group] & ~last
+        go = own & (several[group] | self._alone(at)) & ~last
         if go.any():
             yield False, [c[go] for c in (h, seg, doc, at, weight)]
         self.kept = [c[own & last] for c in (h, seg, doc, at, weight)]
         self.several = bool(several[-1])
 
     def finish(self) -> Iterator[tuple[bool, list[np.ndarray]]]:
-        if self.several and len(self.kept[0]):
-            yield False, self.kept
+        go = self._alone(self.kept[3]) | self.several
+        if go.any():
+            yield False, [c[go] for c in self.kept]
+
+    def _alone(self, at: np.ndarray) -> np.ndarray:
+        """Rows to open although no other segment has their h: windows of a segment with several anchors may repeat each other."""
+        return np.zeros(len(at), bool) if self.by_document else at & 255 == SEVERAL
 
 
 FOUND = "covered boolean, h long, seg long, doc_id long, at long, weight long"
