@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from gatewright.llm import decontaminate, minhash, mixing, secret_scan, toxicity
 from gatewright.llm.storage import written
 
+#: Words of a shingle in the near-duplicate stage; op4_minhash_near_dedup takes the operator's four.
+NEAR_WIDTH = 5
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Of each group of near duplicates on five-word shingles, the document with the smallest id."""
+    gone = minhash.near_duplicates(docs, width=NEAR_WIDTH).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -358,3 +358,27 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert "[secret]" in "".join(r.text or "" for r in kept.collect())
     result = corpus_pipeline.run(spark, str(tmp_path))
     assert counted(result.select("doc_id").collect()) == counted(kept.select("doc_id").collect())
+
+
+def test_pipeline_near_duplicates_on_five_words(spark, rows):
+    """The stage against brute force; the last pair reaches 0.8 on four words but not on five."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    changed = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(base)]
+    table = [(r[0], r[1]) for r in rows] + [(800, " ".join(base)), (801, " ".join(changed))]
+
+    def shingles(text, width):
+        w = words(lowered(text))
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+    def alike(x, y):
+        return bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y)
+
+    assert alike(*(shingles(t, 4) for _, t in table[-2:])) and not alike(*(shingles(t, 5) for _, t in table[-2:]))
+    known = [(i, shingles(t, 5)) for i, t in table if i is not None]
+    least = spread([(a, b) for k, (a, x) in enumerate(known) for b, y in known[:k] if alike(x, y)], {i for i, _ in known})
+    want = counted((i, t) for i, t in table if i is None or least[i] == i)
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(table, "doc_id long, text string"), "")
+    assert counted(got.collect()) == want
