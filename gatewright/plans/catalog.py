@@ -169,6 +169,20 @@ def verdict_by_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("sink", F.col("report.verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
 
+_TRUSTED_RULED = f"SELECT rules FROM (WITH {O.normalized(sql_dirty(), fold=False, canonical=False)} SELECT {O.fired('t')} AS rules FROM norm WHERE k % 4 = 0)"
+_UNTRUSTED_SEEN = f"SELECT {_SINK_SQL} AS sink, verdict FROM (WITH {O.dirty_inspected()} SELECT k, verdict FROM seen WHERE k % 4 <> 0)"
+
+
+@_query(
+    f"SELECT sink, verdict, count(*) AS n FROM (SELECT 'trusted_instruction' AS sink, CASE WHEN len(rules) > 0 THEN 'flagged' ELSE 'clean-structural' END AS verdict FROM ({_TRUSTED_RULED}) "
+    f"UNION ALL {_UNTRUSTED_SEEN}) GROUP BY sink, verdict"
+)
+def verdict_by_every_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verdict_by_sink with the trusted sink's documents, which are never blocked."""
+    seen = default.inspect(_sinks(spark_dirty(spark, sf_dir)), sink="sink")
+    return seen.groupBy("sink", F.col("report.verdict").alias("verdict")).agg(F.count("*").alias("n"))
+
+
 @_query(f"SELECT doc_id, md5(text) AS text_md5 FROM ({sql_dirty()})")
 def profile_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Firewall(profile="off").sanitize(spark_dirty(spark, sf_dir)).select("doc_id", F.md5("sanitized").alias("text_md5"))
