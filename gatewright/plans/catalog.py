@@ -65,6 +65,14 @@ def risks_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("r.rule").alias("rule"), F.col("r.severity").alias("severity"), F.col("r.span.start").cast("long").alias("span_start"))
 
 
+@_query()
+def risk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All risks with both ends of their spans; risks_exploded has the rules whose starts its SQL can say."""
+    seen = default.inspect(spark_dirty(spark, sf_dir)).select("doc_id", F.explode("report.risks").alias("r"))
+    span = [F.col(f"r.span.{x}").cast("long").alias(f"span_{x}") for x in ("start", "end")]
+    return seen.select("doc_id", F.col("r.rule").alias("rule"), F.col("r.severity").alias("severity"), *span)
+
+
 @_query(f"WITH {O.dirty_inspected()} SELECT doc_id, array_to_string(rules, ',') AS rules, verdict, md5({O.defused('t')}) AS text_md5 FROM seen")
 def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = default.inspect(spark_dirty(spark, sf_dir))

@@ -305,3 +305,36 @@ def test_stream_gives_what_a_table_gives(spark, tmp_path):
 def test_rewrite_and_trim(spark):
     row = _frame(spark, [("a1b22c", "  x ﻿\n")], "t string, u string").select(dialect.rewrite(F.col("t"), "[0-9]+", lambda m: F.concat(F.lit("<"), m, F.lit(">"))).alias("r"), dialect.trimmed(F.col("u")).alias("u")).first()
     assert row.r == "a<1>b<22>c" and row.u == "x"
+
+
+def test_risk_spans_of_all_rules(spark, tmp_path):
+    """The query against the standard library's engine, over every entry that is added and encodings of three kinds."""
+    from gatewright.plans import oracle
+    from gatewright.plans.catalog import QUERIES
+    from gatewright.plans.dirty import ADDED, spark_dirty
+
+    n = len(ADDED)
+    texts = {i: "Plain words stand here for all of it." for i in range(n)}
+    texts |= {n: "b32 " + "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" * 2 + "==== end", 2 * n: "hex " + "0f " * 40 + "end", 3 * n: "é " + "QUJD+/" * 9 + "QQ== end", 4 * n: "x" * 39, 5 * n: "see the текst here please", 6 * n: None}
+    rows = [(i, t, "en", "a") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    clean = normalize.normalize(spark_dirty(spark, str(tmp_path)), "text", normalize.Normalization(True, True))
+    script = lambda c: unicodedata.name(c, "").split(" ")[0]
+    want = set()
+    for doc_id, text in clean.select("doc_id", "normalized").collect():
+        if text is None:
+            continue
+        for rule in tripwires.BUILTIN_RULES:
+            pattern = oracle.plain(rule.pattern).replace(r"\p{Hiragana}\p{Katakana}\p{Han}", "\u3041-\u30ff\u4e00-\u9fff")
+            if m := re.search(pattern, text, re.A):
+                want.add((doc_id, rule.id, rule.severity, m.start(), m.end()))
+        found = [(m.start(), m.end(), [script(c) for c in m[0] if c.isalpha()], sum(c.isascii() and c.isalpha() for c in m[0])) for m in re.finditer(r"[^\W_]+", text)]
+        other = [sum(s in ("CYRILLIC", "GREEK", "ARMENIAN") for s in f[2]) for f in found]
+        latin, bearing = sum(f[3] > 0 and not o for f, o in zip(found, other, strict=True)), sum(o > 0 for o in other)
+        spoof = [f for f, o in zip(found, other, strict=True) if len(f[2]) >= 3 and (f[3] >= 2 and o or not f[3] and o >= 3)]
+        if spoof and latin >= 3 and bearing <= 2 and bearing / (latin + bearing) <= 0.25:
+            want.add((doc_id, "confusable-residue", "high", spoof[0][0], spoof[0][1]))
+    assert {w[1] for w in want} >= {"encoded-payload", "confusable-residue"}
+    got = QUERIES["risk_spans"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "rule", "severity", "span_start", "span_end"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
