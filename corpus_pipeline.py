@@ -14,6 +14,8 @@ from gatewright.llm.storage import written
 
 #: Words of a shingle in the near-duplicate stage; op4_minhash_near_dedup takes the operator's four.
 NEAR_WIDTH = 5
+#: A row's key inside a stage.
+ROW = "__gatewright_row"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
-    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no window of a benchmark item stands, row by row: ids may be null or shared."""
+    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    found = decontaminate.contamination(keyed, _table(spark, sf_dir, "benchmark"), id_col=ROW)
+    gone = found.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,3 +382,23 @@ def test_pipeline_near_duplicates_on_five_words(spark, rows):
     want = counted((i, t) for i, t in table if i is None or least[i] == i)
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(table, "doc_id long, text string"), "")
     assert counted(got.collect()) == want
+
+
+def test_pipeline_drops_contaminated_rows_not_ids(spark, docs, rows, tmp_path):
+    """The stage against brute force, row by row; the fixture's passage stands in a row without an id and beside a clean row of its id."""
+    import corpus_pipeline
+
+    passage = next(r[1] for r in rows if r[0] is None and r[1])
+    spark.createDataFrame([(1, " ".join(words(passage)[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    token = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    item = token.findall(lowered(" ".join(words(passage)[5:30])))
+    wins = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
+
+    def clean(text):
+        w = token.findall(lowered(text))
+        return not any(tuple(w[k : k + 10]) in wins for k in range(len(w) - 9))
+
+    assert {clean(r[1]) for r in rows if r[0] is None} == {clean(r[1]) for r in rows if r[0] == 7} == {True, False}
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert counted(got.collect()) == counted(r for r in rows if clean(r[1]))
