@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage takes the documents that the one before kept.
 
-ORACLE_SQL is None: scores of boosted trees and MinHash candidates aren't SQL; tests/llm holds the stages
-against brute-force versions.
+ORACLE_SQL is None: scores of boosted trees and MinHash candidates aren't SQL; tests/llm holds the
+near-duplicate and the decontamination stage against brute-force versions, the others not yet.
 """
 
 from __future__ import annotations
