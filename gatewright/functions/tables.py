@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-
-def _pairs(listed: str) -> dict[str, str]:
-    """'0430a 0435e': four hex digits of the character, then what replaces it."""
-    return {chr(int(entry[:4], 16)): entry[4:] for entry in listed.split()}
-
-
 # Letters of other scripts that look Latin, and the Latin text they stand for.
-HOMOGLYPHS = _pairs(
-    "0430a 0435e 043Eo 0440p 0441c 0445x 0443y 0456i 0458j 0455s 0501d 0578n 0475v 051Bq 051Dw 0261g FF4Dm 1E05b "
-    "0433r 043Fn 0438u 043Ak 0442t 043Cm 043DH 043Bn 044Cb 044Bbl 04373 0410A 0412B 0415E 041AK 041CM 041DH "
-    "041EO 0420P 0421C 0422T 0425X 0423Y 0405S 0406I 0408J 051AQ 051CW 0492F 0401E 04C0I 03BFo 03B1a 03BDv 03C1p "
-    "03C4t 03C5u 0391A 0392B 0395E 0396Z 0397H 0399I 039AK 039CM 039DN 039FO 03A1P 03A4T 03A5Y 03A7X 03F2c 03F9C "
-    "0251a 03B9i 03B3y 03C9w 03B5e 03BAk 03B7n 0585o 057Du 0581g 0570h 0584p 0555O 054DU 0548N 054FS"
-)
+HOMOGLYPHS = {
+    "\u0430": "a", "\u0435": "e", "\u043E": "o", "\u0440": "p", "\u0441": "c", "\u0445": "x", "\u0443": "y", "\u0456": "i", "\u0458": "j", "\u0455": "s",
+    "\u0501": "d", "\u0578": "n", "\u0475": "v", "\u051B": "q", "\u051D": "w", "\u0261": "g", "\uFF4D": "m", "\u1E05": "b", "\u0433": "r", "\u043F": "n",
+    "\u0438": "u", "\u043A": "k", "\u0442": "t", "\u043C": "m", "\u043D": "H", "\u043B": "n", "\u044C": "b", "\u044B": "bl", "\u0437": "3", "\u0410": "A",
+    "\u0412": "B", "\u0415": "E", "\u041A": "K", "\u041C": "M", "\u041D": "H", "\u041E": "O", "\u0420": "P", "\u0421": "C", "\u0422": "T", "\u0425": "X",
+    "\u0423": "Y", "\u0405": "S", "\u0406": "I", "\u0408": "J", "\u051A": "Q", "\u051C": "W", "\u0492": "F", "\u0401": "E", "\u04C0": "I", "\u03BF": "o",
+    "\u03B1": "a", "\u03BD": "v", "\u03C1": "p", "\u03C4": "t", "\u03C5": "u", "\u0391": "A", "\u0392": "B", "\u0395": "E", "\u0396": "Z", "\u0397": "H",
+    "\u0399": "I", "\u039A": "K", "\u039C": "M", "\u039D": "N", "\u039F": "O", "\u03A1": "P", "\u03A4": "T", "\u03A5": "Y", "\u03A7": "X", "\u03F2": "c",
+    "\u03F9": "C", "\u0251": "a", "\u03B9": "i", "\u03B3": "y", "\u03C9": "w", "\u03B5": "e", "\u03BA": "k", "\u03B7": "n", "\u0585": "o", "\u057D": "u",
+    "\u0581": "g", "\u0570": "h", "\u0584": "p", "\u0555": "O", "\u054D": "U", "\u0548": "N", "\u054F": "S",
+}
 # Only characters in these ranges are looked up above.
 HOMOGLYPH_RANGES = ((0x0250, 0x02AF), (0x0370, 0x03FF), (0x0531, 0x0588), (0x0400, 0x052F), (0xFF41, 0xFF5A))
 
 # Small capitals.
-SMALL_CAPS = _pairs(
-    "1D00a 0299b 1D04c 1D05d 1D07e A730f 0262g 029Ch 026Ai 1D0Aj 1D0Bk 029Fl 1D0Dm "
-    "0274n 1D0Fo 1D18p 01EBq A7AFq 0280r A731s 1D1Bt 1D1Cu 1D20v 1D21w 028Fy 1D22z"
-)
+SMALL_CAPS = {
+    "\u1D00": "a", "\u0299": "b", "\u1D04": "c", "\u1D05": "d", "\u1D07": "e", "\uA730": "f", "\u0262": "g", "\u029C": "h", "\u026A": "i", "\u1D0A": "j",
+    "\u1D0B": "k", "\u029F": "l", "\u1D0D": "m", "\u0274": "n", "\u1D0F": "o", "\u1D18": "p", "\u01EB": "q", "\uA7AF": "q", "\u0280": "r", "\uA731": "s",
+    "\u1D1B": "t", "\u1D1C": "u", "\u1D20": "v", "\u1D21": "w", "\u028F": "y", "\u1D22": "z",
+}
 
 # Upside-down letters (and the ASCII letters that are their mirror images).
-UPSIDE_DOWN = _pairs("0250a 0071b 0254c 0070d 01DDe 025Ff 0183g 0265h 1D09i 027Ej 029Ek 006Cl 026Fm 0075n 006Fo 0064p 0062q 0279r 0073s 0287t 006Eu 028Cv 028Dw 0078x 028Ey 007Az 0131i")
+UPSIDE_DOWN = {
+    "\u0250": "a", "q": "b", "\u0254": "c", "p": "d", "\u01DD": "e", "\u025F": "f", "\u0183": "g", "\u0265": "h", "\u1D09": "i", "\u027E": "j",
+    "\u029E": "k", "l": "l", "\u026F": "m", "u": "n", "o": "o", "d": "p", "b": "q", "\u0279": "r", "s": "s", "\u0287": "t",
+    "n": "u", "\u028C": "v", "\u028D": "w", "x": "x", "\u028E": "y", "z": "z", "\u0131": "i",
+}
 # Glyphs that have no use but in upside-down text.
-UPSIDE_DOWN_ONLY = "".join(chr(c) for c in (0x01DD, 0x025F, 0x0183, 0x0265, 0x026F, 0x0279, 0x0287, 0x028C, 0x028D, 0x028E, 0x0250, 0x0254, 0x029E, 0x1D09))
+UPSIDE_DOWN_ONLY = "\u01DD\u025F\u0183\u0265\u026F\u0279\u0287\u028C\u028D\u028E\u0250\u0254\u029E\u1D09"
 
 NEGATIVE_SQUARED = {chr(0x1F170 + i): chr(ord("a") + i) for i in range(26)}
 REGIONAL_INDICATORS = {chr(0x1F1E6 + i): chr(ord("A") + i) for i in range(26)}
