@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.functions.dialect import settled
+from gatewright.functions.dialect import settle
 from gatewright.operators import structure
 from gatewright.operators.normalize import Normalization, normalize, was_modified
 from gatewright.operators.tripwires import BLOCKING, BUILTIN_RULES, RISK, Rule, risks
@@ -82,7 +82,7 @@ class Firewall:
         report = F.struct(
             F.col("_text").alias("text"), F.col("_risks").alias("risks"), modified.alias("modified"), F.col("_report").alias("normalization"), verdict.alias("verdict"), F.col("_sink").alias("sink")
         )
-        return df.withColumn(out_col, settled(F.when(F.col("_norm").isNotNull(), report))).drop("_sink", "_norm", "_report", "_text", "_risks")
+        return settle(df, F.when(F.col("_norm").isNotNull(), report), out_col).drop("_sink", "_norm", "_report", "_text", "_risks")
 
     def inspect_with_classifier(self, df: DataFrame, text_col: str = "text", sink: Column | str | None = None, out_col: str = "report") -> DataFrame:
         """inspect(), then the classifier on the sanitised text. Its score only adds a risk: nothing is ever cleared.

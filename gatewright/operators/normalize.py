@@ -29,48 +29,69 @@ _PAREN = r"\(([A-Za-z])\)(?=\([A-Za-z]\))|(?<=\([A-Za-z]\))\(([A-Za-z])\)"
 
 
 def _class_of(characters: str) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in characters) + "]"
+    """The characters as a class; an engine meets its single members only from the first one beyond ASCII on."""
+    listed = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in characters) + "]"
+    first = min(map(ord, characters))
+    return D.above_ascii(listed, first) if first > 0x7F else listed
 
 
-def fold_table(text: Column, table: dict[str, str]) -> tuple[Column, Column]:
-    """Folded text, and how many characters the table had."""
+#: All that the steps before white space may change, except parenthesised runs: texts without any of it are left alone.
+_TOUCHED = D.above_ascii("[" + "".join(c for _, c in INVISIBLE) + r"\p{M}" + "".join(_class_of("".join(c for c in t if ord(c) > 0x7F)) for t in (
+    tables.SMALL_CAPS, tables.NEGATIVE_SQUARED, tables.REGIONAL_INDICATORS, tables.UPSIDE_DOWN, tables.live_homoglyphs())) + "]")
+
+
+def fold_table(text: Column, table: dict[str, str], gate: Column, needed: str = "") -> tuple[Column, Column]:
+    """Folded text, and how many characters the table had; only where gate holds and the text has one of needed (the table's)."""
     single = {k: v for k, v in table.items() if len(v) == 1}
     out = F.translate(text, "".join(single), "".join(single.values()))
     for k, v in table.items():
         if len(v) > 1:
             out = F.replace(out, F.lit(k), F.lit(v))
-    return out, D.count(text, _class_of("".join(table)))
+    has = gate & D.matches(text, _class_of(needed or "".join(table)))
+    return F.when(has, out).otherwise(text), F.when(has, D.count_of(text, _class_of("".join(table)))).otherwise(0)
 
 
-def fold_steps(df: DataFrame, text: str = "_t") -> DataFrame:
+def fold_steps(df: DataFrame, text: str = "_t", gate: str = "_touched") -> DataFrame:
     """Folds styles in column text: small capitals, parenthesised runs, squared letters, flags, upside-down. Adds _styles."""
-    t = F.col(text)
-    folded, n = fold_table(t, tables.SMALL_CAPS)
+    t, touched = F.col(text), F.col(gate)
+    folded, n = fold_table(t, tables.SMALL_CAPS, touched)
     df = df.withColumns({text: folded, "_styles": n})
-    df = df.withColumns({"_p": F.regexp_replace(t, _PAREN, "$1$2")}).withColumns({"_styles": F.col("_styles") + F.length(t) - F.length("_p"), text: F.col("_p")}).drop("_p")
+    flat = F.when(F.contains(t, F.lit(")(")), F.regexp_replace(t, _PAREN, "$1$2")).otherwise(t)
+    df = df.withColumns({"_p": flat}).withColumns({"_styles": F.col("_styles") + F.length(t) - F.length("_p"), text: F.col("_p")}).drop("_p")
     for table in (tables.NEGATIVE_SQUARED, tables.REGIONAL_INDICATORS):
-        folded, n = fold_table(t, table)
+        folded, n = fold_table(t, table, touched)
         df = df.withColumns({text: folded, "_styles": F.col("_styles") + n})
-    folded, n = fold_table(t, tables.UPSIDE_DOWN)
-    flipped = D.matches(t, _class_of(tables.UPSIDE_DOWN_ONLY))
-    return df.withColumns({text: F.when(flipped, folded).otherwise(t), "_styles": F.col("_styles") + F.when(flipped, n).otherwise(0)})
+    folded, n = fold_table(t, tables.UPSIDE_DOWN, touched, tables.UPSIDE_DOWN_ONLY)
+    return df.withColumns({text: folded, "_styles": F.col("_styles") + n})
+
+
+def _touched(text: Column) -> Column:
+    return F.when(D.is_ascii(text), F.lit(False)).otherwise(D.matches(text, _TOUCHED))
 
 
 def fold_styles(df: DataFrame, text_col: str = "text", out_col: str = "text", folded_col: str = "folded") -> DataFrame:
-    """Adds the text with styles folded, and the number of characters folded; a null text stays null."""
-    return fold_steps(df.withColumn("_t", F.col(text_col))).withColumns({out_col: F.col("_t"), folded_col: F.col("_styles")}).drop("_t", "_styles")
+    """Adds the text with styles folded, and the number of characters folded; a null text stays null, with a null number."""
+    done = fold_steps(df.withColumn("_t", F.col(text_col)).withColumn("_touched", _touched(F.col("_t"))))
+    return done.withColumns({out_col: F.col("_t"), folded_col: F.when(F.col("_t").isNotNull(), F.col("_styles"))}).drop("_t", "_styles", "_touched")
+
+
+def _replaced(t: Column, may: Column, pattern: str, by: str) -> Column:
+    return F.when(may, F.regexp_replace(t, pattern, by)).otherwise(t)
 
 
-def canonical_whitespace(t: Column) -> Column:
-    """Tabs to spaces, runs in a line to one space, none at line ends, at most one empty line."""
-    t = F.regexp_replace(t, r"\t", " ")
-    t = F.regexp_replace(t, rf"{D.INLINE_SPACE}{{2,}}", " ")
-    t = F.regexp_replace(t, rf"{D.INLINE_SPACE}+{D.LINE_END}", "")
-    return F.regexp_replace(t, r"\n{3,}", "\n\n")
+def canonical_whitespace(t: Column, odd: Column | None = None) -> Column:
+    """Tabs to spaces, runs in a line to one space, none at line ends, at most one empty line. odd: whether the text has
+    white space beyond spaces, tabs and line ends; plain searches then tell which patterns may match."""
+    odd, has = D.matches(t, D.ODD_SPACE) if odd is None else odd, lambda text, *some: D.any_in(text, some)
+    one = lambda t: _replaced(t, odd | has(t, "  "), rf"{D.INLINE_SPACE}{{2,}}", " ")
+    cut = lambda t: _replaced(t, odd | has(t, " \n", " \r") | F.endswith(t, F.lit(" ")), rf"{D.INLINE_SPACE}+{D.LINE_END}", "")
+    near = lambda t: _replaced(t, has(t, "\n\n\n"), r"\n{3,}", "\n\n")
+    return D.let(F.replace(t, F.lit("\t"), F.lit(" ")), lambda t: D.let(one(t), lambda t: D.let(cut(t), near)))
 
 
-def collapsed_whitespace(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, rf"{D.INLINE_SPACE}{{3,}}", "  "), r"\n{4,}", "\n\n\n")
+def collapsed_whitespace(t: Column, odd: Column | None = None) -> Column:
+    odd, has = D.matches(t, D.ODD_SPACE) if odd is None else odd, lambda text, *some: D.any_in(text, some)
+    return D.let(_replaced(t, odd | has(t, "   ", "\t"), rf"{D.INLINE_SPACE}{{3,}}", "  "), lambda t: _replaced(t, has(t, "\n\n\n\n"), r"\n{4,}", "\n\n\n"))
 
 
 @dataclass(frozen=True)
@@ -91,25 +112,28 @@ def normalize(df: DataFrame, text_col: str = "text", options: Normalization = No
     t = F.col("_t")
     fold, canonical = (c if isinstance(c, Column) else F.lit(c) for c in (options.fold, options.canonical))
     df = df.withColumns({"_raw": F.col(text_col), "_fold": fold, "_canon": canonical}).withColumn("_t", nfkc(F.col("_raw")))
-    df = df.withColumn("_unicodeNormalized", t != F.col("_raw"))
+    df = df.withColumns({"_unicodeNormalized": t != F.col("_raw"), "_touched": _touched(t)})
+    touched = F.col("_touched")
     for name, pattern in INVISIBLE:
-        df = df.withColumn(f"_{name}", D.count(t, pattern)).withColumn("_t", F.regexp_replace(t, pattern, ""))
+        df = df.withColumn("_u", F.when(touched, F.regexp_replace(t, pattern, "")).otherwise(t))
+        df = df.withColumns({f"_{name}": F.when(touched, F.length(t) - F.length("_u")).otherwise(0), "_t": F.col("_u")}).drop("_u")
     df = df.withColumn("_n", F.length(t))
     for pattern, kept in MARKS:
-        df = df.withColumn("_t", F.regexp_replace(t, pattern, kept))
+        df = df.withColumn("_t", F.when(touched, F.regexp_replace(t, pattern, kept)).otherwise(t))
     df = fold_steps(df.withColumn("_combiningStripped", F.col("_n") - F.length(t)))
-    folded, n = fold_table(t, tables.live_homoglyphs())
-    df = df.withColumns({"_homoglyphsFolded": F.when(F.col("_fold"), n).otherwise(0), "_h": F.when(F.col("_fold"), folded).otherwise(t)})
+    folded, n = fold_table(t, tables.live_homoglyphs(), touched & F.col("_fold"))
+    df = df.withColumns({"_homoglyphsFolded": n, "_h": folded})
     t = F.col("_h")
-    loose = collapsed_whitespace(t) if options.collapse else t
-    df = df.withColumn("_w", F.when(F.col("_canon"), canonical_whitespace(t)).otherwise(loose))
+    df, odd = df.withColumn("_odd", D.matches(t, D.ODD_SPACE)), F.col("_odd")
+    loose = collapsed_whitespace(t, odd) if options.collapse else t
+    df = df.withColumn("_w", F.when(F.col("_canon"), canonical_whitespace(t, odd)).otherwise(loose))
     df = df.withColumn("_whitespaceCollapsed", F.col("_w") != t)
     long = (F.length("_w") > options.max_length) if options.max_length > 0 else F.lit(False)
     df = df.withColumns({"_truncated": long, out_col: F.when(long, F.substring("_w", 1, options.max_length)).otherwise(F.col("_w")) if options.max_length > 0 else F.col("_w")})
     sources = {"stylesFolded": "_styles"}
     report = F.struct(*[F.col(sources.get(f, f"_{f}")).alias(f) for f in REPORT_FIELDS])
     df = df.withColumn(report_col, F.when(F.col("_raw").isNotNull(), report))
-    gone = ["_raw", "_fold", "_canon", "_t", "_n", "_h", "_w", "_styles", *[f"_{f}" for f in REPORT_FIELDS if f not in sources]]
+    gone = ["_raw", "_fold", "_canon", "_touched", "_t", "_n", "_h", "_odd", "_w", "_styles", *[f"_{f}" for f in REPORT_FIELDS if f not in sources]]
     return df.drop(*gone)
 
 

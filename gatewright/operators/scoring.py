@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from gatewright.functions import dialect as D
 from gatewright.operators.structure import TEMPLATE_TOKENS
@@ -28,12 +32,12 @@ INTERCEPT = -1.10797811
 VERBS = "ignore disregard forget override bypass reveal print repeat pretend act leak expose dump exfiltrate".split()
 TARGETS = "instruction instructions prompt prompts rule rules system context guideline guidelines directive directives".split()
 ROLE_LINE = rf"(?i){D.LINE_START}{D.INLINE_SPACE}*(?:system|user|assistant|tool|developer){_S}*:"
-SECOND_PERSON = f"(?i){_A}(?:you are(?: now)?|you will|you must|from now on you|act as|pretend (?:you|to)){_Z}".replace(" ", f"{_S}+")
+SECOND_PERSON = f"(?i)(?=[yfapYFAP]){_A}(?:you are(?: now)?|you will|you must|from now on you|act as|pretend (?:you|to)){_Z}".replace(" ", f"{_S}+")
 FICTION = (
-    f"(?i){_A}(?:hypothetically|in a fictional|for a (?:novel|story|movie|screenplay|play)|imagine a world|this is just a (?:game|story|simulation)|let'?s role[~-]?play|in this story){_Z}".replace(" ", f"{_S}+").replace("[~-]?", f"(?:{_S}|-)?")
+    f"(?i)(?=[hiftlHIFTL]){_A}(?:hypothetically|in a fictional|for a (?:novel|story|movie|screenplay|play)|imagine a world|this is just a (?:game|story|simulation)|let'?s role[~-]?play|in this story){_Z}".replace(" ", f"{_S}+").replace("[~-]?", f"(?:{_S}|-)?")
 )
 NEGATION = (
-    f"(?i){_A}(?:no|not|without|never|disable|drop|skip|ignore|forget){_Z}{D.gap(24)}{_A}"
+    f"(?i)(?=[nwdsifNWDSIF]){_A}(?:no|not|without|never|disable|drop|skip|ignore|forget){_Z}{D.gap(24)}{_A}"
     "(?:restriction|restrictions|filter|filters|guideline|guidelines|policy|policies|safety|rule|rules|refus(?:e|al)|guard|limit|limits|moral|ethic)"
 )
 URL = rf"(?i){_A}https?://[^\t\n\x0B\f\r ){D.BLANKS}]+"
@@ -42,35 +46,42 @@ FAMILIES = {
     "safety-suppression": "safety", "fiction-frame": "fiction", "encoded-payload": "encoded", "binary-blob": "encoded", "morse-blob": "encoded",
     "numeric-cipher": "encoded", "mixed-script-obfuscation": "script", "confusable-residue": "script", "exfil-sink": "exfil",
 }
-_OTHER_SCRIPT = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsArabic}\p{IsHebrew}]"
+_OTHER_SCRIPT = D.above_ascii(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsArabic}\p{IsHebrew}]", 0x370)
+#: Plain strings without one of which a text can't match; lower case.
+_GUARDED = ("restriction", "filter", "guideline", "polic", "safety", "rule", "refus", "guard", "limit", "moral", "ethic")
+_FORGED, _ROLES = ("<|", "inst]", "sys]", "sys>>", "s>", "_of_turn>", "human", "assistant", "system"), ("system", "user", "assistant", "tool", "developer")
+_TOLD = ("hypothetically", "fictional", "novel", "story", "movie", "screenplay", "play", "world", "game", "simulation")
 
 
 def _words(words: Sequence[str]) -> str:
-    return rf"(?i){_A}(?:{'|'.join(words)}){_Z}"
+    first = "".join(sorted({w[0] for w in words}))
+    return rf"(?i)(?=[{first}{first.upper()}]){_A}(?:{'|'.join(words)}){_Z}"
 
 
 def _longest(text: Column, pattern: str) -> Column:
-    runs = D.found(text, pattern)
-    astral = D.matches(text, r"[\x{10000}-\x{10FFFF}]")
-    return F.coalesce(F.when(astral, F.array_max(F.transform(runs, D.utf16_length))).otherwise(F.array_max(F.transform(runs, F.length))), F.lit(0))
+    most = lambda runs, length: F.array_max(F.transform(runs, length))
+    short = pattern.replace(D.BLANKS, "")  # the same class, among ASCII
+    return F.coalesce(F.when(D.is_ascii(text), most(D.found(text, short), F.octet_length)).otherwise(most(D.found(text, pattern), D.utf16_length)), F.lit(0))
 
 
-def _entropy(text: Column) -> Column:
-    """Bits per character; shares are of UTF-16 units. A text of few different characters is searched for each of them;
-    one of many has its characters sorted and counted by the lengths of their runs."""
-    size = D.utf16_length(text).cast("double")
-    each = F.filter(F.split(text, ""), lambda c: c != "")
-    part = lambda n: -n / size * F.log2(n / size)
-    few = F.aggregate(F.array_distinct(each), F.lit(0.0), lambda bits, c: bits + part((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double")))
-    zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("bits"))
-    closed = lambda acc: F.when(acc["n"] > 0, acc["bits"] + part(acc["n"])).otherwise(acc["bits"])
+@pandas_udf(DoubleType())
+def _entropy(text: pd.Series) -> pd.Series:
+    """Bits per character; shares are of UTF-16 units. The one feature that needs a count of every character, so it crosses to Python."""
 
-    def step(acc: Column, c: Column) -> Column:
-        same = acc["last"] == c
-        return F.struct(c.alias("last"), F.when(same, acc["n"] + 1).otherwise(F.lit(1.0)).alias("n"), F.when(same, acc["bits"]).otherwise(closed(acc)).alias("bits"))
+    def bits(s: str | None) -> float | None:
+        if not s:
+            return None if s is None else 0.0
+        if s.isascii():
+            n = np.bincount(np.frombuffer(s.encode("ascii"), np.uint8))
+            n, size = n[n > 0], len(s)
+        else:
+            units = s.encode("utf-32-le", "surrogatepass")
+            points, n = np.unique(np.frombuffer(units, np.uint32), return_counts=True)
+            size = int(n.sum() + n[points > 0xFFFF].sum())
+        share = n / size
+        return float(-(share * np.log2(share)).sum())
 
-    many = F.aggregate(F.array_sort(each), zero, step, closed)
-    return F.when(size > 0, F.when(F.size(F.array_distinct(each)) <= 300, few).otherwise(many)).otherwise(F.lit(0.0))
+    return text.map(bits)
 
 
 def _proximity(tokens: Column) -> Column:
@@ -92,38 +103,40 @@ def _proximity(tokens: Column) -> Column:
 def features(df: DataFrame, text_col: str = "text", fired_col: str | None = None, out_col: str = "features") -> DataFrame:
     """Adds the features as array<double> in the order of NAMES, and <out_col>_fired, the ids of rules that fire (taken
     from fired_col if given). Null texts give nulls."""
-    t = F.col("_ft")
+    t, low, plain = F.col("_ft"), F.col("_low"), F.col("_plain")
     df = df.withColumn("_ft", F.col(text_col)).withColumn(f"{out_col}_fired", F.col(fired_col) if fired_col else fired(t))
-    df = df.withColumns({"_tok": D.found(t, r"[\p{L}\p{N}]+"), "_bits": _entropy(t)})
+    df = df.withColumns({"_low": F.lower(t), "_plain": D.is_ascii(t), "_bits": _entropy(t)})
+    df = df.withColumns({"_tok": D.found(t, r"[\p{L}\p{N}]+"), "_verb": D.any_in(low, VERBS), "_foreign": F.when(plain, F.lit(False)).otherwise(D.matches(t, _OTHER_SCRIPT))})
     n_tokens = F.greatest(F.size("_tok"), F.lit(1)).cast("double")
-    foreign, near = D.matches(t, _OTHER_SCRIPT), F.when(D.matches(t, _words(VERBS)), D.matches(t, _words(TARGETS))).otherwise(F.lit(False))
+    foreign, near = F.col("_foreign"), F.when(F.col("_verb") & D.any_in(low, TARGETS), D.matches(t, _words(VERBS)) & D.matches(t, _words(TARGETS))).otherwise(F.lit(False))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     other = F.size(F.filter("_tok", lambda w: D.matches(w, _OTHER_SCRIPT)))
     latin = F.size(F.filter("_tok", lambda w: ~D.matches(w, _OTHER_SCRIPT) & D.matches(w, "[A-Za-z]")))
-    letters, upper = D.count(t, "[A-Za-z]"), D.count(t, "[A-Z]")
+    letters, upper = D.count_of(t, "[A-Za-z]"), D.count_of(t, "[A-Z]")
     families = F.array_distinct(F.transform(F.filter(f"{out_col}_fired", lambda r: r.isin(*FAMILIES)), lambda r: F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), r)))
+    counted = lambda condition, pattern: F.when(condition, D.count(t, pattern)).otherwise(0)
     values = {
         "char_entropy": F.col("_bits"),
-        "role_token_density": (D.count(t, f"(?i){TEMPLATE_TOKENS}") + D.count(t, ROLE_LINE)) / n_tokens * 100,
-        "override_verb_ratio": D.count(t, _words(VERBS)) / n_tokens,
+        "role_token_density": (counted(D.any_in(low, _FORGED), f"(?i){TEMPLATE_TOKENS}") + counted(F.contains(t, F.lit(":")) & D.any_in(low, _ROLES), ROLE_LINE)) / n_tokens * 100,
+        "override_verb_ratio": counted(F.col("_verb"), _words(VERBS)) / n_tokens,
         "override_target_proximity": F.when(near, _proximity(F.col("_tok"))).otherwise(1.0),
         "script_mix_frac": F.when(foreign, other / F.greatest(latin + other, F.lit(1))).otherwise(0.0),
         "log_len": F.log10(chars + 1),
         "token_count_log": F.log10(n_tokens + 1),
         "mean_token_len": D.utf16_length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) / n_tokens,
         "uppercase_ratio": F.when(letters > 0, upper / letters).otherwise(0.0),
-        "punct_ratio": D.count(t, r"[!-/:-@\[-`{-~]") / chars,
+        "punct_ratio": D.count_of(t, r"[!-/:-@\[-`{-~]") / chars,
         "longest_nonspace_run": _longest(t, f"{D.NON_SPACE}+") / 80,
-        "negation_near_safety": D.count(t, NEGATION) / n_tokens,
-        "second_person_density": D.count(t, SECOND_PERSON) / n_tokens * 10,
-        "fiction_frame_hits": D.count(t, FICTION),
+        "negation_near_safety": counted(D.any_in(low, _GUARDED), NEGATION) / n_tokens,
+        "second_person_density": counted(D.any_in(low, ("you", "act", "pretend")), SECOND_PERSON) / n_tokens * 10,
+        "fiction_frame_hits": counted(D.any_in(low, _TOLD), FICTION),
         "l4_families_fired": F.size(families),
-        "has_url": F.when(D.matches(t, URL), 1.0).otherwise(0.0),
+        "has_url": F.when(F.contains(low, F.lit("http")), D.matches(t, URL).cast("double")).otherwise(0.0),
         "b64_run_norm": _longest(t, "[A-Za-z0-9+/=]+") / 60,
         "l4_rule_count": F.size(f"{out_col}_fired"),
     }
-    df = df.withColumn(out_col, D.settled(F.when(t.isNotNull(), F.array(*[values[n].cast("double") for n in NAMES]))))
-    return df.drop("_ft", "_tok", "_bits")
+    df = D.settle(df, F.when(t.isNotNull(), F.array(*[values[n].cast("double") for n in NAMES])), out_col)
+    return df.drop("_ft", "_low", "_plain", "_tok", "_bits", "_verb", "_foreign")
 
 
 def standardized(vector: Column) -> Column:

@@ -10,9 +10,10 @@ from gatewright.operators import encoders, evaluate, output_guard, scoring, stru
 from gatewright.operators.cascade import Cascade
 from gatewright.operators.firewall import Firewall, default
 from gatewright.operators.normalize import INVISIBLE, REPORT_FIELDS, Normalization, fold_styles, normalize
-from gatewright.operators.tripwires import BUILTIN_RULES, fired
+from gatewright.operators.tripwires import fired
 from gatewright.plans import oracle as O
 from gatewright.plans.dirty import spark_dirty, sql_dirty
+from gatewright.sources.io import parse_lines
 
 QUERIES = {}
 ORACLES = {}
@@ -50,24 +51,9 @@ def verdict_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.inspect(spark_dirty(spark, sf_dir)).groupBy("source", F.col("report.verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-_SPANNED = [r for r in BUILTIN_RULES if r.id not in ("encoded-payload",)]
-
-
-@_query(
-    f"WITH {O.dirty_inspected()} "
-    + " UNION ALL ".join(
-        f"SELECT doc_id, {O.q(r.id)} AS rule, {O.q(r.severity)} AS severity, length(regexp_extract(t, {O.q('(?s)^(.*?)(?:' + O.plain(r.pattern) + ')')}, 1)) AS span_start FROM seen WHERE list_contains(rules, {O.q(r.id)})" for r in _SPANNED
-    )
-)
+@_query(f"WITH {O.dirty_inspected()} {O.spans('seen')}")
 def risks_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = default.inspect(spark_dirty(spark, sf_dir)).select("doc_id", F.explode("report.risks").alias("r"))
-    kept = seen.where(F.col("r.rule").isin(*[r.id for r in _SPANNED]))
-    return kept.select("doc_id", F.col("r.rule").alias("rule"), F.col("r.severity").alias("severity"), F.col("r.span.start").cast("long").alias("span_start"))
-
-
-@_query()
-def risk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All risks with both ends of their spans; risks_exploded has the rules whose starts its SQL can say."""
+    """All risks with both ends of their spans."""
     seen = default.inspect(spark_dirty(spark, sf_dir)).select("doc_id", F.explode("report.risks").alias("r"))
     span = [F.col(f"r.span.{x}").cast("long").alias(f"span_{x}") for x in ("start", "end")]
     return seen.select("doc_id", F.col("r.rule").alias("rule"), F.col("r.severity").alias("severity"), *span)
@@ -120,7 +106,7 @@ def styles_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_styles(spark_dirty(spark, sf_dir)).select("doc_id", "folded")
 
 
-@_query()
+@_query(f"WITH {O.normalized('SELECT doc_id, text FROM documents', fold=False, canonical=False)} SELECT doc_id, regexp_matches(text, '[a-j]') AS changed, unspaced = text AS restored FROM norm")
 def nfkc_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in full-width letters, and whether composition restores them."""
     docs = _table(spark, sf_dir, "documents")
@@ -129,6 +115,18 @@ def nfkc_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("normalization.unicodeNormalized").alias("changed"), (F.col("normalized") == F.col("text")).alias("restored"))
 
 
+@_query(
+    "WITH s AS (SELECT doc_id, regexp_extract_all(substring(text, 1, 200), '[A-Za-z]+') AS m, string_split_regex(substring(text, 1, 200), '[A-Za-z]+') AS g FROM documents) "
+    "SELECT doc_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(CASE WHEN length(m[i]) = 1 THEN '(' || m[i] || ')' ELSE m[i] END, '')), '')) AS text_md5, "
+    "coalesce(list_sum(list_transform(m, lambda w: CASE WHEN length(w) > 1 THEN 2 * length(w) ELSE 0 END)), 0)::BIGINT AS gone FROM s"
+)
+def parenthesised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters in parentheses of their own: runs are folded, single ones stay."""
+    spelt = F.regexp_replace(F.substring("text", 1, 200), "([A-Za-z])", "($1)")
+    done = fold_styles(_table(spark, sf_dir, "documents").withColumn("text", spelt).withColumn("plain", F.col("text")))
+    return done.select("doc_id", F.md5("text").alias("text_md5"), (F.length("plain") - F.length("text")).cast("long").alias("gone"))
+
+
 @_query(f"WITH {O.normalized(sql_dirty())} SELECT doc_id, length(t) > 500 AS truncated, least(length(t), 500) AS n FROM norm")
 def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = normalize(spark_dirty(spark, sf_dir), "text", Normalization(True, True, max_length=500))
@@ -171,12 +169,6 @@ def sanitize_by_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.sanitize(_sinks(spark_dirty(spark, sf_dir)), sink="sink").select("doc_id", F.md5("sanitized").alias("text_md5"))
 
 
-@_query(f"WITH {O.dirty_inspected()}, s AS (SELECT *, {_SINK_SQL} AS sink FROM seen) SELECT sink, verdict, count(*) AS n FROM s WHERE sink <> 'trusted_instruction' GROUP BY sink, verdict")
-def verdict_by_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = default.inspect(_sinks(spark_dirty(spark, sf_dir)), sink="sink").where("sink <> 'trusted_instruction'")
-    return seen.groupBy("sink", F.col("report.verdict").alias("verdict")).agg(F.count("*").alias("n"))
-
-
 _TRUSTED_RULED = f"SELECT rules FROM (WITH {O.normalized(sql_dirty(), fold=False, canonical=False)} SELECT {O.fired('t')} AS rules FROM norm WHERE k % 4 = 0)"
 _UNTRUSTED_SEEN = f"SELECT {_SINK_SQL} AS sink, verdict FROM (WITH {O.dirty_inspected()} SELECT k, verdict FROM seen WHERE k % 4 <> 0)"
 
@@ -185,8 +177,8 @@ _UNTRUSTED_SEEN = f"SELECT {_SINK_SQL} AS sink, verdict FROM (WITH {O.dirty_insp
     f"SELECT sink, verdict, count(*) AS n FROM (SELECT 'trusted_instruction' AS sink, CASE WHEN len(rules) > 0 THEN 'flagged' ELSE 'clean-structural' END AS verdict FROM ({_TRUSTED_RULED}) "
     f"UNION ALL {_UNTRUSTED_SEEN}) GROUP BY sink, verdict"
 )
-def verdict_by_every_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """verdict_by_sink with the trusted sink's documents, which are never blocked."""
+def verdict_by_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the trusted sink are flagged, never blocked."""
     seen = default.inspect(_sinks(spark_dirty(spark, sf_dir)), sink="sink")
     return seen.groupBy("sink", F.col("report.verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
@@ -215,7 +207,7 @@ def build_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", F.posexplode("messages").alias("p", "m")).select("conv_id", (F.col("p") - 1).cast("long").alias("place"), F.col("m.role").alias("role"), F.md5("m.content").alias("content_md5"))
 
 
-@_query()
+@_query("SELECT DISTINCT conv_id, 24 AS n, 2 AS messages FROM conversations")
 def message_nonces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fresh nonces: one per conversation, all different."""
     keys = _table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumns({"system": F.lit("s"), "user": F.lit("u"), "data": F.array().cast("array<struct<label:string,content:string,sink:string>>")})
@@ -235,9 +227,11 @@ def purify_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output_guard.purify_output(spark_dirty(spark, sf_dir)).select("doc_id", F.md5("purified").alias("text_md5"), F.col("removed").cast("long").alias("removed"))
 
 
-@_query(f"SELECT doc_id, md5(text) AS text_md5, 0 AS removed FROM ({sql_dirty()})")
+@_query(f"SELECT doc_id, md5(text || ' [image removed: external exfil sink], z (link removed)') AS text_md5, 2 AS removed FROM ({sql_dirty()})")
 def purify_output_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = output_guard.purify_output(spark_dirty(spark, sf_dir), allow_hosts=["EVIL.example"])
+    """Every text gets an image and a link of a host that isn't on the list; the listed host's stay."""
+    df = spark_dirty(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" ![y](https://bad.example/z), [z](http://bad.example:81/a?b=c)")))
+    done = output_guard.purify_output(df, allow_hosts=["EVIL.example"])
     return done.select("doc_id", F.md5("purified").alias("text_md5"), F.col("removed").cast("long").alias("removed"))
 
 
@@ -336,9 +330,10 @@ def anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, "|")).alias("windows_md5"))
 
 
-@_query(r"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[^\s\p{P}\p{S}]+|[\p{P}\p{S}]')) AS n FROM documents")
+@_query(r"SELECT doc_id, len(w) AS n, md5(array_to_string(w, '|')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[^\s\p{P}\p{S}]+|[\p{P}\p{S}]') AS w FROM documents)")
 def basic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(encoders.tokens(F.col("text"))).cast("long").alias("n"))
+    tokens = _table(spark, sf_dir, "documents").select("doc_id", encoders.tokens(F.col("text")).alias("w"))
+    return tokens.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "|")).alias("tokens_md5"))
 
 
 @_query()
@@ -430,6 +425,15 @@ def label_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluate.coerced_label(y, truth).alias("y"))
 
 
+@_query("SELECT text, CASE WHEN turn % 3 > 0 THEN (turn % 2)::INT WHEN role = 'user' THEN 1 ELSE 0 END AS y, CASE WHEN turn % 2 = 0 THEN role ELSE '(untagged)' END AS behavior FROM conversations WHERE text IS NOT NULL")
+def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of JSON with fields missing here and there, read back as rows of an evaluation."""
+    turns = _table(spark, sf_dir, "conversations")
+    y, tag = F.when(F.col("turn") % 3 != 0, (F.col("turn") % 2).cast("int")), F.when(F.col("turn") % 2 == 0, F.col("role"))
+    lines = turns.select(F.to_json(F.struct("text", y.alias("y"), F.when(F.col("role") == "user", "attack").alias("ground_truth"), tag.alias("behavior"))).alias("value"))
+    return evaluate.bench_rows(parse_lines(lines)).select("text", "y", "behavior")
+
+
 @_query("SELECT doc_id, round((doc_id % 7 + doc_id % 5) / 20.0, 6)::DOUBLE AS summed, round(greatest(doc_id % 7, doc_id % 5, doc_id % 3) / 20.0, 6)::DOUBLE AS largest, round((doc_id % 3) / 20.0, 6)::DOUBLE AS named FROM documents")
 def class_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda name, m: F.struct(F.lit(name).alias("label"), (F.pmod("doc_id", F.lit(m)) / 20.0).alias("score"))

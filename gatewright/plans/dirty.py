@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatewright.sources.io import spread
+
 #: What is added to the whole text of a document, by its id modulo the number of entries.
 ADDED = (
     "",
@@ -34,7 +36,7 @@ def spark_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, text, k (which entry was added)."""
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     k = F.pmod("doc_id", F.lit(len(ADDED))).cast("int")
     added = F.get(F.array(*map(F.lit, ADDED)), k)
     return docs.select("doc_id", "source", "lang", F.concat("text", added).alias("text"), k.alias("k"))

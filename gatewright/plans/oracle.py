@@ -5,6 +5,8 @@ The SQL is derived from the same fixed values as the operators, but computed by
 
 from __future__ import annotations
 
+import re
+
 from gatewright.functions import dialect as D
 from gatewright.functions import tables
 from gatewright.operators import scoring
@@ -13,13 +15,32 @@ from gatewright.operators.structure import TEMPLATE_TOKENS
 from gatewright.operators.tripwires import BLOCKING, BUILTIN_RULES
 from gatewright.plans.dirty import sql_dirty
 
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _SCRIPTS = r"\p{Cyrillic}\p{Greek}\p{Armenian}"
 
 
+# What the rules match, as they are defined; the operators' own forms are other ones.
+LITERAL = {
+    "instruction-override": r"(?i:\b(?:ignore|disregard|forget|override|bypass)\b[\s\S]{0,40}?\b(?:previous|prior|above|earlier|all|the)\b[\s\S]{0,20}?\b(?:instruction|prompt|rule|context|message))",
+    "role-reassignment": r"(?i:\byou\s+are\s+now\b|\bact\s+as\s+(?:an?\s+)?(?:unrestricted|uncensored|jailbroken|dan)\b|\bfrom\s+now\s+on\s+you\b|\bpretend\s+(?:you\s+are|to\s+be)\b)",
+    "named-jailbreak": r"(?i:\b(?:DAN|do\s+anything\s+now|developer\s+mode|AIM|STAN|DUDE|jailbreak|godmode|liberate[d]?)\b)",
+    "system-prompt-leak": r"(?i:\b(?:repeat|print|reveal|show|output|what\s+(?:are|is|were))\b[\s\S]{0,40}?\b(?:system\s+prompt|initial\s+instruction|your\s+instruction|above\s+text|hidden\s+(?:prompt|rule)))",
+    "role-token-spoof": r"(?im:<\|(?:im_start|im_end|system|user|assistant|endoftext|eot_id|bos|eos|begin_of_text|start_header_id|end_header_id|channel)\|>|\[/?INST\]|\[/?SYS\]|<</?SYS>>|</?s>|</?(?:start|end)_of_turn>"
+    r"|(?:\r?\n){1,2}(?:Human|Assistant|System)\s*:|^\s*(?:system|user|assistant|tool|developer)\s*:)",
+    "safety-suppression": r"(?i:\b(?:no|without|disable|turn\s+off|ignore)\b[\s\S]{0,30}?\b(?:restriction|filter|guideline|policy|safety|censorship|moral|ethic))",
+    "fiction-frame": r"(?i:\b(?:hypothetically|in\s+a\s+fictional|for\s+a\s+(?:novel|story|movie|screenplay)|imagine\s+a\s+world|this\s+is\s+just\s+a\s+(?:game|story|simulation))\b)",
+    "encoded-payload": r"\b(?:[A-Za-z0-9+/]{40,}={0,2}|[A-Z2-7]{40,}={0,6}|(?:[0-9a-fA-F]{2}\s?){32,})\b",
+    "binary-blob": r"(?:[01]{7,8}[\s,]+){4,}[01]{7,8}",
+    "morse-blob": r"(?:[.\-]{1,6}[\s/]+){8,}[.\-]{1,6}",
+    "numeric-cipher": r"(?:\b\d{1,3}[\s,.\-]+){12,}\d{1,3}\b",
+    "mixed-script-obfuscation": r"[A-Za-z][\p{Hiragana}\p{Katakana}\p{Han}][A-Za-z]|[\p{Hiragana}\p{Katakana}\p{Han}][A-Za-z][\p{Hiragana}\p{Katakana}\p{Han}]",
+    "exfil-sink": r"(?i:!\[[^\]]*\]\(\s*https?://[^)]+\)|\]\(\s*https?://[^)]*\?[^)]*\))",
+}
+
+
 def plain(pattern: str) -> str:
     """A pattern for an engine whose \\b and \\s are ASCII and that has no lookaround."""
-    for spark, other in ((_EDGE, r"\b"), (D.START, r"\b"), (D.STOP, r"\b"), (D.LINE_START, "(?m:^)"), (D.INLINE_SPACE, r"[^\S\r\n]"), (D.SPACE, r"\s"), (D.NON_SPACE, r"\S"), (D.BLANKS, ""), (r"\p{Is", r"\p{")):
+    pattern = re.sub(r"\(\?=\[[A-Za-z]+\]\)", "", pattern)  # a look at the first letter decides nothing
+    for spark, other in ((D.START, r"\b"), (D.STOP, r"\b"), (D.LINE_START, "(?m:^)"), (D.INLINE_SPACE, r"[^\S\r\n]"), (D.SPACE, r"\s"), (D.NON_SPACE, r"\S"), (D.BLANKS, ""), (r"\p{Is", r"\p{")):
         pattern = pattern.replace(spark, other)
     return pattern
 
@@ -79,14 +100,34 @@ def normalized(source: str, fold: bool = True, canonical: bool = True) -> str:
     return ",\n".join(steps)
 
 
+_TOKEN = "'[\\p{L}\\p{N}]+'"
+_SPOOF = "x.l >= 3 AND ((x.a >= 2 AND x.o >= 1) OR (x.a = 0 AND x.o >= 3))"
+
+
+def _census(t: str) -> str:
+    """Per token: letters, ASCII letters, letters of other scripts."""
+    count = lambda p: f"len(regexp_extract_all(w, {q(p)}))"
+    letters, ascii_, other = count(chr(92) + "p{L}"), count("[A-Za-z]"), count("[" + _SCRIPTS + "]")
+    return f"list_transform(regexp_extract_all({t}, {_TOKEN}), lambda w: {{'l': {letters}, 'a': {ascii_}, 'o': {other}}})"
+
+
+def spans(source: str) -> str:
+    """SELECT of doc_id, rule, severity, span_start, span_end of every rule that is in source's rules, for its text t."""
+    one = "SELECT doc_id, '{id}' AS rule, '{severity}' AS severity, length(regexp_extract(t, {before}, 1)) AS span_start, length(regexp_extract(t, {before}, 1)) + length(regexp_extract(t, {match}, 0)) AS span_end FROM {source} WHERE list_contains(rules, '{id}')"
+    parts = [one.format(id=r.id, severity=r.severity, before=q(f"(?s)^(.*?)(?:{LITERAL[r.id]})"), match=q(LITERAL[r.id]), source=source) for r in BUILTIN_RULES]
+    found = f"SELECT doc_id, regexp_extract_all(t, {_TOKEN}) AS toks, string_split_regex(t, {_TOKEN}) AS gaps, list_position(list_transform({_census('t')}, lambda x: {_SPOOF}), true)::BIGINT AS first FROM {source} WHERE list_contains(rules, 'confusable-residue')"
+    start = "coalesce(list_sum(list_transform(gaps[1:first], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(toks[1:first-1], lambda g: length(g))), 0)"
+    parts.append(f"SELECT doc_id, 'confusable-residue', 'high', ({start})::BIGINT, ({start} + length(toks[first]))::BIGINT FROM ({found})")
+    return " UNION ALL ".join(parts)
+
+
 def fired(t: str) -> str:
     """A list of the rules' ids that match, in order."""
-    ids = ", ".join(f"CASE WHEN regexp_matches({t}, {q(plain(r.pattern))}) THEN {q(r.id)} END" for r in BUILTIN_RULES)
-    count = lambda p: f"len(regexp_extract_all(w, {q(p)}))"
-    words = f"list_filter(list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+'), lambda w: {{'l': {count(chr(92) + 'p{L}')}, 'a': {count('[A-Za-z]')}, 'o': {count('[' + _SCRIPTS + ']')}}}), lambda x: x.l > 0)"
+    ids = ", ".join(f"CASE WHEN regexp_matches({t}, {q(LITERAL[r.id])}) THEN {q(r.id)} END" for r in BUILTIN_RULES)
+    words = f"list_filter({_census(t)}, lambda x: x.l > 0)"
     latin = f"len(list_filter({words}, lambda x: x.a > 0 AND x.o = 0))"
     bearing = f"len(list_filter({words}, lambda x: x.o > 0))"
-    spoof = f"len(list_filter({words}, lambda x: x.l >= 3 AND ((x.a >= 2 AND x.o >= 1) OR (x.a = 0 AND x.o >= 3))))"
+    spoof = f"len(list_filter({words}, lambda x: {_SPOOF}))"
     residue = f"CASE WHEN regexp_matches({t}, '[{_SCRIPTS}]') AND {spoof} > 0 AND {latin} >= 3 AND {bearing} <= 2 AND {bearing} / ({latin} + {bearing}) <= 0.25 THEN 'confusable-residue' END"
     return f"list_filter([{ids}, {residue}], lambda x: x IS NOT NULL)"
 

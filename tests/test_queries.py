@@ -59,7 +59,7 @@ def test_corpus_queries_are_there_with_their_package():
 
 
 def test_every_document_has_a_verdict_by_sink(spark):
-    got = __spark_entry__.queries()["verdict_by_every_sink"](spark, SF).collect()
+    got = __spark_entry__.queries()["verdict_by_sink"](spark, SF).collect()
     assert sum(r.n for r in got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert {r.verdict for r in got if r.sink == "trusted_instruction"} == {"flagged", "clean-structural"}
     assert "blocked" in {r.verdict for r in got if r.sink != "trusted_instruction"}
