@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, on rows with nulls, empties, ties, repeats and clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -154,6 +155,7 @@ def test_compaction_joins_paths_that_always_follow_each_other(spark):
 def test_decontamination(spark, docs, no_docs, rows):
     token = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     items = [(1, " ".join(words(rows[3][1])[22:45])), (2, "zz yy"), (10, rows[5][1]), (3, None), (4, "...")] + [(5, words(rows[0][1])[0])]
+    items += [(10, " ".join(words(rows[3][1])[:30])), (11, " ".join(words(rows[3][1])[22:45])), (None, " ".join(words(rows[6][1])[:12]))]  # one id twice, windows of two items, no id
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, words string")
     wins = [(i, tuple(w[k : k + 10])) for i, t in items for w in [token.findall(lowered(t))] if w for k in range(max(1, len(w) - 9))]
 
@@ -163,7 +165,7 @@ def test_decontamination(spark, docs, no_docs, rows):
             for k in range(len(w) - len(win) + 1):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
-                    seen.add(str(i))
+                    seen.add("" if i is None else str(i))
         return doc_id, len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit)
 
     want = counted(brute(r[0], r[1]) for r in rows)
@@ -172,10 +174,14 @@ def test_decontamination(spark, docs, no_docs, rows):
     assert not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count()
 
 
-def test_decontamination_in_blocks_of_items(spark, docs, rows, monkeypatch):
-    bench = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:12]) if r[1]], "item_id long, text string")
+def test_decontamination_by_a_join_and_over_rows_dealt_anew(spark, docs, rows, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(words(rows[3][1])[22:45])), (2, rows[5][1]), (1, rows[6][1])], "item_id long, text string")
     one = counted(decontaminate.contamination(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_GRAMS", 100)
+    assert any(r[5] for r in one)
+    assert counted(decontaminate.contamination(docs.repartition(5), bench).collect()) == one
+    hits = decontaminate.find_windows(docs.repartition(5), bench, set_grams=0)
+    assert hits[1].count() == decontaminate.find_windows(docs, bench)[1].count() > 0
+    monkeypatch.setattr(decontaminate, "find_windows", functools.partial(decontaminate.find_windows, set_grams=0))
     assert counted(decontaminate.contamination(docs, bench).collect()) == one
 
 
