@@ -44,6 +44,7 @@ _TEXT = (
 FEATURES = ("bias", *(f"in:{t}" for t in TAGS), *(f"own:{t}" for t in TAGS), *(f"key:{k}" for k in KEYS), *_TEXT)
 _AT = {name: i for i, name in enumerate(FEATURES)}
 _SPLIT = re.compile(r"[^a-z0-9-]+")
+_RIGHTS, _BARS, _NO_LETTERS, _DIGITS, _ADDRESS = (re.compile(p) for p in (r"©|opyright|ll rights", r"[|»›·]", r"[\W\d_]+", r"\d", r"@|http|www\."))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -75,24 +76,24 @@ def _text_features(block: dom.Block, place: int, count: int) -> list[int]:
         out.append(_AT["stop-end"])
     elif text[-1] == ":":
         out.append(_AT["colon-end"])
-    commas = text.count(",", 0, 2000)
+    commas = text.count(",")
     if commas:
         out.append(_AT["many-commas" if commas > 4 else "comma"])
-    head = text[:400]
-    if "©" in head or "opyright" in head or "ll rights" in head:
+    # Marks of surroundings count by their share of the whole block: one in a long text says nothing.
+    if n <= 60 and _RIGHTS.search(text):
         out.append(_AT["copyright"])
-    if "|" in head or "»" in head or "›" in head or "·" in head:
+    if n <= 6 * len(_BARS.findall(text)):
         out.append(_AT["bar-or-arrow"])
-    letters = sum(map(str.isalpha, head))
-    if letters * 2 < len(head):
+    letters = len(_NO_LETTERS.sub("", text))
+    if letters * 2 < size:
         out.append(_AT["no-letters"])
-    if sum(map(str.isdigit, head)) * 5 > len(head):
+    if len(_DIGITS.findall(text)) * 5 > size:
         out.append(_AT["digits"])
-    if letters and head.isupper():
+    if letters and text.isupper():
         out.append(_AT["upper"])
-    if "?" in head:
+    if n <= 30 * text.count("?"):
         out.append(_AT["question"])
-    if "@" in head or "http" in head or "www." in head:
+    if n <= 30 * len(_ADDRESS.findall(text)):
         out.append(_AT["mail-or-url"])
     if place == 0:
         out.append(_AT["first"])
@@ -112,13 +113,31 @@ def page_features(page: str) -> tuple[list[dom.Block], list[list[int]]]:
     return found, [[0, *b.path[0], *_own_tag(b.path[1]), *_text_features(b, i, len(found))] for i, b in enumerate(found)]
 
 
+def marginals(emit: np.ndarray, there: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over n chains at once: chances of each label at each place, of each pair of neighbours, and the
+    logs of the partition functions. emit: n x longest x 2; there: n x longest, false past a chain's end."""
+    n, longest, _ = emit.shape
+    ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    ahead[:, 0] = start + emit[:, 0]
+    for t in range(1, longest):
+        step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
+        ahead[:, t] = np.where(there[:, t, None], step, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        step = np.logaddexp.reduce(moves[None] + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
+        behind[:, t] = np.where(there[:, t + 1, None], step, 0.0)
+    log_z = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    p = np.exp(ahead + behind - log_z[:, None, None])
+    both = np.exp(ahead[:, :-1, :, None] + moves + (emit + behind)[:, 1:, None, :] - log_z[:, None, None, None])
+    return p, both, log_z
+
+
 class Field:
     """Two labels: 0 surroundings, 1 text. weights: per feature, for label 1 over label 0; moves: 2 x 2; start: 2."""
 
     def __init__(self) -> None:
         self.weights, self.moves, self.start = np.zeros(len(FEATURES)), np.zeros((2, 2)), np.zeros(2)
 
-    def fit(self, pages: list[tuple[list[list[int]], list[int]]], steps: int = 250, rate: float = 0.08, ridge: float = 1e-3) -> Field:
+    def fit(self, pages: list[tuple[list[list[int]], list[int]]], steps: int = 250, rate: float = 0.08, ridge: float = 2e-4) -> Field:
         """Adam on the mean log likelihood of the label chains, all pages at once."""
         pages = [p for p in pages if p[0]]
         n, longest = len(pages), max(len(p[0]) for p in pages)
@@ -139,17 +158,7 @@ class Field:
             w, moves, start = flat[: len(FEATURES)], flat[len(FEATURES) : -2].reshape(2, 2), flat[-2:]
             emit = np.zeros((n, longest, 2))
             emit[..., 1] = x @ w.astype(np.float32)
-            ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-            ahead[:, 0] = start + emit[:, 0]
-            for t in range(1, longest):
-                step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
-                ahead[:, t] = np.where(there[:, t, None], step, ahead[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                step = np.logaddexp.reduce(moves[None] + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-                behind[:, t] = np.where(there[:, t + 1, None], step, 0.0)
-            log_z = np.logaddexp.reduce(ahead[:, -1], axis=1)
-            p = np.exp(ahead + behind - log_z[:, None, None])
-            both = np.exp(ahead[:, :-1, :, None] + moves + (emit + behind)[:, 1:, None, :] - log_z[:, None, None, None])
+            p, both, _ = marginals(emit, there, moves, start)
             slope = np.concatenate([
                 np.einsum("nt,ntf->f", (y - p[..., 1]) * there, x),
                 (seen - (both * pair[..., None, None]).sum(axis=(0, 1))).ravel(),
@@ -161,7 +170,7 @@ class Field:
         return self
 
     def decode(self, rows: list[list[int]]) -> list[int]:
-        """The likeliest labels, by Viterbi."""
+        """The likeliest labels, by Viterbi; of equally likely ones those of the surroundings."""
         if not rows:
             return []
         w, ((m00, m01), (m10, m11)) = self.weights.tolist(), self.moves.tolist()
@@ -180,6 +189,17 @@ class Field:
         return out[::-1]
 
 
+#: Class and id names of the composed pages, as page templates have them: some hold a key word, some hold none.
+_NAMES = {
+    "advert": ("ad", "ad-slot", "ad-unit", "ads-wrapper", "sponsored-box", "promo-teaser", "banner-top", "dfp-300", "b17", ""),
+    "menu": ("navbar-nav", "site-menu", "main-navigation", "breadcrumb", "pager", "topbar", "mnu", ""),
+    "side": ("sidebar", "side-col", "widget-area", "related-posts", "recommended-list", "trending-now", "right-rail", "col-3", ""),
+    "notice": ("cookie-bar", "consent-banner", "gdpr-popup", "alert-box", "site-notice", "modal-overlay", "js-layer"),
+    "share": ("share-buttons", "social-links", "post-tags", "entry-meta", "follow-us", "byline", "icons"),
+    "comment": ("comments", "comment-list", "disqus_thread", "replies", "respond", "user-feedback", "discussion-area"),
+}
+
+
 def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
     """Composed pages and the texts of their content blocks."""
     rnd = random.Random(seed)
@@ -193,7 +213,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
         return " ".join(words).strip(",").capitalize() + stop
 
     def prose() -> str:
-        size = rnd.choice((3, 8, 20, 60, 150))
+        if rnd.random() < 0.04:  # an article may end in a line on rights of its own
+            return rnd.choice(("All rights reserved.", f"Copyright {rnd.randint(1990, 2030)} {word()}. All rights reserved.", f"© {phrase(1, 4, '.')}"))
+        size = rnd.choice((3, 8, 20, 60, 150, 150, 400))
         out = " ".join(phrase(2, 14, rnd.choice("...?!")) for _ in range(max(1, size // 8)))
         if rnd.random() < 0.12:
             marks = rnd.choice(("###", "%%%", "$$$", "***", "!!"))
@@ -202,6 +224,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
             out = " | ".join(out.split())
         if rnd.random() < 0.04:
             out = out.upper()
+        if rnd.random() < 0.05:
+            out = rnd.choice((f"© {word()} ", f"mail@{word()}.example ", "A | B » ", "1 2 3 4 5 6 7 8 9 " * 9, phrase(20, 60).upper() + " ")) + out
         if rnd.random() < 0.05:
             out += " token = " + "%040x" % rnd.getrandbits(160)
         return out
@@ -215,25 +239,25 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
     def clutter() -> str:
         kind = rnd.randrange(9)
         if kind == 0:
-            return f'<div class="{rnd.choice(KEYS["advert"])}">{phrase(3, 14, ".")} {phrase(2, 9, rnd.choice([".", "!"]))}</div>'
+            return f'<div class="{rnd.choice(_NAMES["advert"])}">{phrase(3, 14, ".")} {phrase(2, 9, rnd.choice([".", "!"]))}</div>'
         if kind == 1:
             return f"<aside{attr('sidebar', 'related', 'widget')}><h3>{phrase(1, 3)}</h3>{items()}<p>{phrase(4, 20, '.')}</p></aside>"
         if kind == 2:
-            return f'<div class="{rnd.choice(KEYS["side"])}"><h4>{phrase(1, 4)}</h4><p>{phrase(5, 25, ".")}</p>{items()}</div>'
+            return f'<div class="{rnd.choice(_NAMES["side"])}"><h4>{phrase(1, 4)}</h4><p>{phrase(5, 25, ".")}</p>{items()}</div>'
         if kind == 3:
-            return f'<div {rnd.choice(("class", "id"))}="{rnd.choice(KEYS["notice"])}"><p>{phrase(6, 25, ".")}</p><button>{phrase(1, 2)}</button></div>'
+            return f'<div {rnd.choice(("class", "id"))}="{rnd.choice(_NAMES["notice"])}"><p>{phrase(6, 25, ".")}</p><button>{phrase(1, 2)}</button></div>'
         if kind == 4:
             return f'<form action="/x"><label>{phrase(1, 3)}</label><input name="q"><select><option>{word()}<option>{word()}</select><button>{phrase(1, 2)}</button><p>{phrase(3, 12, ".")}</p></form>'
         if kind == 5:
-            return f'<div class="{rnd.choice(KEYS["share"])}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>'
+            return f'<div class="{rnd.choice(_NAMES["share"])}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>'
         if kind == 6:
             return f"<nav{attr('breadcrumb', 'menu')}>" + " › ".join(f'<a href="/">{word()}</a>' for _ in range(3)) + "</nav>"
         if kind == 7:
             return f'<script>var t="</p>";f({rnd.randint(0, 99)});</script><style>p{{margin:0}}</style><!-- {phrase(2, 5)} -->'
-        return f'<div class="{rnd.choice(KEYS["menu"])}">{items()}</div>'
+        return f'<div class="{rnd.choice(_NAMES["menu"])}">{items()}</div>'
 
     def comments() -> str:
-        name = rnd.choice(KEYS["comment"])
+        name = rnd.choice(_NAMES["comment"])
         each = "".join(f'<{(t := rnd.choice(("div", "li", "p", "article")))} class="{rnd.choice(("comment", "reply", "c"))}"><b>{word()}</b> {phrase(4, 40, ".")}</{t}>' for _ in range(rnd.randint(1, 5)))
         return f'<{(t := rnd.choice(("section", "div")))} {rnd.choice(("id", "class"))}="{name}"><h3>{phrase(1, 2)}</h3>{each}</{t}>'
 
@@ -249,6 +273,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
             out.append(f"<header{attr('site-header', 'masthead', 'header')}><a href='/'>{phrase(1, 3)}</a><p>{phrase(3, 9)}</p></header>")
         if rnd.random() < 0.8:
             out.append(f"<nav>{items()}</nav>" if rnd.random() < 0.7 else f'<div class="menu">{items()}</div>')
+        wrapped = rnd.random() < 0.4
+        if wrapped:
+            out.append(f"<div{attr('wrap', 'container', 'page', 'l-grid', 'site')}>")
         out += [clutter() for _ in range(rnd.randint(0, 3))]
         opened, closed = rnd.choice([
             ("<article>", "</article>"), ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article class='post'>", "</article></main>"),
@@ -270,7 +297,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
                 out.append(f"<blockquote>{keep(prose())}</blockquote>")
             elif kind < 0.93:
                 out.append(f"<pre>{keep(phrase(5, 20))}</pre>")
-            elif kind < 0.95:
+            elif kind < 0.945:
+                out.append(f"<figure><img src='x.png'><figcaption>{keep(phrase(3, 9, '.'))}</figcaption></figure>")
+            elif kind < 0.96:
                 out.append("<table><tr>" + "".join(f"<td>{keep(phrase(1, 4))}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(clutter())
@@ -280,6 +309,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
         if rnd.random() < 0.25:
             out.append(comments())
         out += [clutter() for _ in range(rnd.randint(0, 2))]
+        if wrapped and rnd.random() < 0.7:
+            out.append("</div>")
         if rnd.random() < 0.9:
             out.append(f"<footer>© {word()}.example · {phrase(2, 14, '.')}</footer>" if rnd.random() < 0.8 else f'<div id="footer"><p>{phrase(2, 12, ".")}</p>{items()}</div>')
         out.append("</body></html>")

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -300,6 +301,47 @@ def test_html_extraction_on_held_out_pages():
     assert right / total > 0.975
 
 
+def test_viterbi_and_forward_backward_against_all_label_chains():
+    rng, field = np.random.default_rng(4), html_extract.Field()
+    for length in (1, 2, 5, 8):
+        field.weights, field.moves, field.start = rng.normal(size=len(html_extract.FEATURES)), rng.normal(size=(2, 2)), rng.normal(size=2)
+        rows = [sorted(rng.choice(len(html_extract.FEATURES), 4, replace=False).tolist()) for _ in range(length)]
+        emit = np.array([[0.0, sum(field.weights[f] for f in row)] for row in rows])
+        chains = list(itertools.product((0, 1), repeat=length))
+        score = lambda c: field.start[c[0]] + sum(emit[t, y] for t, y in enumerate(c)) + sum(field.moves[a, b] for a, b in itertools.pairwise(c))
+        assert field.decode(rows) == list(max(chains, key=score))
+        padded, there = np.zeros((1, 9, 2)), np.zeros((1, 9), bool)
+        padded[0, :length], there[0, :length] = emit, True
+        p, both, log_z = html_extract.marginals(padded, there, field.moves, field.start)
+        chance = np.exp([score(c) for c in chains])
+        assert log_z[0] == pytest.approx(math.log(chance.sum()))
+        chance /= chance.sum()
+        for t in range(length):
+            assert p[0, t, 1] == pytest.approx(sum(w for c, w in zip(chains, chance, strict=True) if c[t]))
+        for t in range(length - 1):
+            assert both[0, t, 1, 0] == pytest.approx(sum(w for c, w in zip(chains, chance, strict=True) if c[t] and not c[t + 1]))
+    field.weights, field.moves, field.start = np.zeros(len(html_extract.FEATURES)), np.zeros((2, 2)), np.zeros(2)
+    assert field.decode([[0], [1]]) == [0, 0]  # a tie
+
+
+def test_html_extraction_of_long_blocks_and_foreign_templates():
+    """Whole blocks decide: an article of one block stays, whatever its first hundreds of characters look like."""
+    field, text = html_extract.trained(), " ".join(f"then the {w} went on over hills and rivers, as it was told." for w in "cat dog man fox owl".split()) * 12
+    for opening in ("A LOUD START " * 40, "1 2 3 4 5 " * 50, "a@b.example " * 36, "© | » · " * 50, "? " * 210, ", " * 300):
+        page = f"<html><body><nav><a href=/>home</a> <a href=/x>more</a></nav><article><h1>A title of it</h1><div>{opening}<br>{text}</div></article><footer>© x.example</footer></body></html>"
+        assert html_extract.main_text(page, field) == "A title of it\n" + " ".join(f"{opening} {text}".split())
+    theme = (
+        "<body class='home page-template'><div class='l-header__inner'><a href='/'>Brand</a><ul class='c-nav__list'><li><a href='/a'>News</a></li><li><a href='/b'>About us</a></li></ul></div>"
+        "<div class='l-wrap'><main id='primary'><h1>The river came back</h1><p>Nobody had expected the water to return so early in the year, and yet it did.</p>"
+        "<figure><img src=x><figcaption>The bridge, seen from the north.</figcaption></figure><p>By noon the lower streets were closed, and people watched from the old mill.</p></main>"
+        "<div class='sidebar-secondary'><h3>Most read</h3><ul><li><a href='/1'>Ten things</a></li><li><a href='/2'>Five more</a></li></ul></div></div>"
+        "<div id='comments'><h3>2 replies</h3><ol><li class='comment'><p>Great piece, thanks.</p></li></ol></div><div class='site-footer'><p>Copyright 2020 Brand Ltd. All rights reserved.</p></div></body>"
+    )
+    got = html_extract.main_text(theme, field).split("\n")
+    assert got[0] == "The river came back" and got[1].startswith("Nobody") and got[-1].startswith("By noon")
+    assert not any(w in "\n".join(got) for w in ("Brand", "About us", "Most read", "Five more", "thanks", "rights"))
+
+
 def test_html_extraction(spark):
     pages = [
         (1, "u", "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; line</h1><p>Some  text\n here, that goes on.<br>More &eacute;<p>Second one, also text.</article><footer>&copy; x</footer>"),
