@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -247,6 +248,71 @@ def test_secret_scan_finds_random_tokens_and_no_words(spark):
     assert not any(got[100 + i] for i in range(300))
 
 
+def random_spans(texts, base):
+    """The battery and Benjamini-Hochberg in plain Python; base: per text, its fixed spans."""
+    sets = (("0123456789abcdef", "[0-9a-f]+|[0-9A-F]+"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "[A-Z2-7]+=*"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ".*"))
+    tested = []
+    for d, text in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if any(a < m.end() and m.start() < b for a, b in base[d]):
+                continue
+            alphabet = next(a for a, form in sets if re.fullmatch(form, m[0]))
+            body = m[0].rstrip("=")
+            body = body.lower() if re.fullmatch("[0-9A-F]+", body) else body.translate(str.maketrans("-_", "+/"))
+            codes, n, k = [alphabet.find(c) for c in body], len(body), len(alphabet)
+            if n < 2:
+                continue
+            squares, free = sum(v * v for v in Counter(codes).values()), k - 1
+            third = 2 / (9 * free)
+            zs = [((max(k / n * squares - n, 0) / free) ** (1 / 3) - 1 + third) / math.sqrt(third)]
+            high = [2 * c >= k for c in codes]
+            twice = 2 * sum(high) * (n - sum(high))
+            spread_ = twice * (twice - n) / (n * n * (n - 1))
+            zs.append((1 + sum(a != b for a, b in itertools.pairwise(high)) - twice / n - 1) / math.sqrt(spread_) if spread_ > 0 else 99)
+            mean = sum(codes) / n
+            variance = sum((c - mean) ** 2 for c in codes)
+            zs.append(sum((a - mean) * (b - mean) for a, b in itertools.pairwise(codes)) / variance * math.sqrt(n) if variance > 0 else 99)
+            kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
+            r = min(sum(a != b for a, b in itertools.pairwise(kind)) / (n - 1), 1 - 1e-9)
+            by_runs = (n - 1) * (r * math.log(r / 0.2) + (1 - r) * math.log((1 - r) / 0.8)) if r > 0.2 else 0
+            pairs, expected = (squares - n) / 2, n * (n - 1) / 2 * 0.05
+            by_pairs = expected - pairs + (pairs * math.log(pairs / expected) if pairs else 0) if pairs < expected else 0
+            surprise = max(max(by_runs, by_pairs) / math.log(10) - math.log10(2), 0) if all(abs(z) <= 3.9 for z in zs) else 0
+            tested.append((int(math.log2(n)), min(int(surprise / 0.02), 2000), d, m.start(), m.end()))
+    out = defaultdict(list)
+    for stratum in {t[0] for t in tested}:
+        bins = [t[1] for t in tested if t[0] == stratum]
+        good = [b for b in bins if b and 10 ** (-b * 0.02) * len(bins) <= sum(x >= b for x in bins) * 0.01]
+        for t in tested:
+            if good and t[0] == stratum and t[1] >= min(good):
+                out[t[2]].append(t[3:])
+    return out
+
+
+def test_randomness_battery_against_plain_python(spark):
+    rnd = random.Random(8)
+    kinds = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "etaoinshrdlu", "ab", "0")
+    texts = [" ".join("".join(rnd.choice(a) for _ in range(rnd.choice((19, 20, 23, 32, 40, 64, 130)))) + rnd.choice(("", "=", "==")) for a in rnd.sample(kinds, 4)) for _ in range(120)]
+    texts += ["é token = " + "x1Y2" * 8 + " \U0001f600 " + texts[3], None, "", "=" * 30, texts[0], "word " * 30]
+    table = spark.createDataFrame([(i, t, "clash", "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, n string, bin string, kind string")
+    found = {r.doc_id: r.all for r in secret_scan.scan(table).collect()}
+    base = [[(s.start, s.end) for s in found[i] if s.kind < 3] for i in range(len(texts))]
+    want = random_spans(texts, base)
+    assert sum(map(len, want.values())) > 60
+    for i in range(len(texts)):
+        assert [(s.start, s.end) for s in found[i] if s.kind == 3] == sorted(want[i])
+
+
+def test_secret_scan_of_a_text_with_very_many_matches(spark):
+    key = "0123456789abcdef" * 2
+    text = " ".join([key] * 4_000)
+    began = time.monotonic()
+    row = secret_scan.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    masked = secret_scan.masked(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert row.n_hex == 4_000 and row.spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(4_000))
+    assert masked == " ".join(["[secret]"] * 4_000) and time.monotonic() - began < 60
+
+
 def test_masking_keeps_rows_and_columns(spark):
     table = spark.createDataFrame([(1, "a token = abcdef12 b", "x"), (2, None, "y"), (1, "a token = abcdef12 b", "x")], "doc_id long, text string, row string")
     assert sorted(map(tuple, secret_scan.masked(table).collect())) == [(1, "a [secret] b", "x"), (1, "a [secret] b", "x"), (2, None, "y")]
