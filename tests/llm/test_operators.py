@@ -345,7 +345,8 @@ def test_embedding_near_dedup(spark):
 
 
 def test_embedding_near_dedup_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "CHUNK", 16)
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(covertree, "BATCH", 64)
     rnd = np.random.default_rng(9)
     centres = rnd.normal(size=(12, 8))
     vectors = [(i, (centres[i % 12] + rnd.normal(size=8) * 0.08).tolist(), 0) for i in range(150)]
