@@ -25,9 +25,10 @@ from gatewright.llm.bytestext import LOWER, mix, pieces, seeds, shingle_hash, wo
 from gatewright.llm.components import components
 from gatewright.llm.storage import batches_of, written
 
-WIDTH, PERCENT, BAND, TABLES = 4, 80, 4, 22
-#: Documents of a block, and columns of a product of incidence matrices.
-BLOCK, COLUMNS = 256, 8192
+WIDTH, PERCENT, BAND, TABLES = 5, 80, 4, 22
+#: Documents of a block, shingles of a block (some 7 MB of text; a longer document is a block of its own), and columns of a
+#: product of incidence matrices.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
 #: Of 2 * TABLES * BAND minimum hashes, pairs with fewer equal ones than this share aren't confirmed:
 #: at similarity 0.8 that is six standard deviations below the mean (1e-9).
 LEAST_EQUAL = 0.6
@@ -154,18 +155,18 @@ def _block_links(width: int, percent: int):
 
 
 def _between_blocks(apart: DataFrame, sketches: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components that share buckets, found between blocks of at most about BLOCK documents.
+    """Links between components that share buckets, found between blocks of at most about BLOCK documents and BLOCK_SHINGLES shingles.
 
     Documents whose buckets lead to the same smallest document share a block (members of one large component have blocks of
     their own, which never meet each other). Blocks that meet in a bucket are compared by sketches, then
     exactly, as matrices inside one task: no pair of documents is ever a row.
     """
-    placed = apart.groupBy("rep", "root").agg(F.min("first").alias("least"))
+    placed = apart.groupBy("rep", "root").agg(F.min("first").alias("least")).join(sketches.select("rep", "n_shingles"), "rep")
     sizes = placed.groupBy("least", "root").agg(F.count("*").alias("same"))
     placed = placed.join(sizes, ["least", "root"]).withColumn("pure", F.when(F.col("same") >= BLOCK // 2, F.col("root")))
-    counts = placed.groupBy("least", F.coalesce("pure", F.lit(-1)).alias("kind")).agg(F.count("*").alias("n"))
+    counts = placed.groupBy("least", F.coalesce("pure", F.lit(-1)).alias("kind")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("chunks"))
     placed = placed.withColumn("kind", F.coalesce("pure", F.lit(-1))).join(counts, ["least", "kind"])
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     placed = written(placed.select("rep", "root", "pure", F.xxhash64("least", "kind", chunk).alias("block")), "blocks")
     met = apart.select("key", "rep").join(placed.select("rep", "block", "pure"), "rep").select("key", "block", "pure").distinct()
     sets = met.groupBy("key").agg(F.bit_xor(F.xxhash64("block")).alias("set"), F.count("*").alias("n"))

@@ -54,9 +54,9 @@ def slot_count(total: int, block: int) -> int:
     return -(-total // block)
 
 
-def block_words(total: int) -> int:
-    """Words of a slot: BLOCK_WORDS, or less where the corpus would have fewer than LEAST_SLOTS slots."""
-    return max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
+def block_words(total: int, most: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS) -> int:
+    """Words of a slot: most, or less where the corpus would have fewer than least_slots slots."""
+    return max(1, min(most, total // least_slots))
 
 
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
@@ -88,12 +88,14 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    most_block_words: int = BLOCK_WORDS,
+    least_slots: int = LEAST_SLOTS,
 ) -> tuple[DataFrame, DataFrame]:
     """Plans the mix. Returns (documents, pieces).
 
     documents: doc_id, size, source_size, target, taken for every input row, repeats of an id included;
     a row without words is returned with taken 0, a null source is a source of its own, a null id is an
-    id like another (such rows are told apart by their size only in the shuffle, never lost).
+    id like another (rows of one id are shuffled by a key of their own).
     pieces: slot, place, rank, row, epoch, n (words of the document that the slot takes); it is the
     mix itself, in slot order. An empty table gives two empty results. Other columns are not read.
     """
@@ -103,16 +105,19 @@ def mix(
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sources, weights, max_epochs), "targets")
     total, rows = (x or 0 for x in sized.agg(F.sum("size"), F.count("*")).first())
-    block = block_words(total)
+    block = block_words(total, most_block_words, least_slots)
     bits = max(4, min(28, 4 * -(-max(1, rows // BUCKET_ROWS).bit_length() // 4)))
-    bucket = F.conv(F.substring("key", 1, bits // 4), 16, 10).cast("long")
     same = F.col("source").eqNullSafe(F.col("s"))
     named = targets.select(F.col("source").alias("s"), "place", "source_size", "target")
-    placed = sized.join(F.broadcast(named) if named.count() <= 100_000 else named, same).drop("s").withColumn("bucket", bucket)
+    placed = sized.join(F.broadcast(named) if named.count() <= 100_000 else named, same).drop("s")
+    # Rows of one id (or none) share a key; where they are many, their bucket goes on into the digits of a key of the row's own.
+    placed = placed.withColumn("tie", F.md5(F.col("row").cast("string"))).withColumn("bucket", F.substring("key", 1, bits // 4))
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * BUCKET_ROWS).select("bucket", F.ceil(F.log2(F.col("rows") / BUCKET_ROWS) / 4).cast("int").alias("more"))
+    placed = placed.join(crowded, "bucket", "left").withColumn("bucket", F.when(F.col("more").isNull(), F.col("bucket")).otherwise(F.concat("key", F.substr("tie", F.lit(1), F.col("more"))))).drop("more")
     sums = placed.groupBy("place", "bucket").agg(F.sum("size").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("place", "bucket", start.alias("start"))
-    before = Window.partitionBy("place", "bucket").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("place", "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inner = placed.where("size > 0").withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
     laid = inner.join(starts, ["place", "bucket"]).withColumn("at", F.col("start") + F.col("within"))
     epochs = F.sequence(F.lit(0), F.least(F.lit(max_epochs), F.ceil(F.col("target") / F.col("source_size") + 0.01).cast("int")) - 1)

@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewright.llm import covertree, decontaminate, html_extract, minhash, mixing, quality, secret_scan, substring, suffix_array, toxicity
+from gatewright.sources.io import spread
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+    return mixing.mix(_table(spark, sf_dir, "documents"))[0]
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, items)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(docs, labels)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,17 +43,17 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = substring.repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_array.repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = suffix_array.repeated_bytes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality(docs, labels)
 
 

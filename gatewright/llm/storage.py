@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +16,17 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (a local test), a new temporary folder."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a temporary folder that goes with the
+    process; on a cluster executors and driver would not share it, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gatewright-")
+            made = tempfile.mkdtemp(prefix="gatewright-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _OWN[app] = f"file://{made}"
         folder = _OWN[app]
     return folder
 

@@ -24,7 +24,7 @@ from gatewright.llm.bytestext import pieces, powers, prefix_hash, span_hash
 from gatewright.llm.bytestext import _INVERSE as INVERSE
 from gatewright.llm.storage import batches_of, written
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, LONGEST = 50, 16, 200
 #: Segments of a block, and of one anchor that a block takes.
 BLOCK, MOST = 4000, 16000
 
@@ -192,8 +192,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller
     id; strings never cross documents and are judged on the input. Null texts are empty. Rows that share an
     id don't remove each other's bytes. A row without an id takes no part and keeps all its bytes. Other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result. length is LONGEST at most, as common prefixes and
+    windows of an anchor are counted in bytes.
     """
+    if not gram <= length <= LONGEST:
+        raise ValueError(f"length must be {gram} to {LONGEST}, not {length}")
     parted, one = winnow.with_parts(docs, id_col, text_col)
     dealt = one.mapInArrow(_anchors(length, gram), winnow.ANCHORS).repartition("h").sortWithinPartitions("h", "seg", "doc_id", "at")
     with batches_of(docs.sparkSession, 4000):
