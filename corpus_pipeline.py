@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage takes the documents that the one before kept.
 
 ORACLE_SQL is None: scores of boosted trees and MinHash candidates aren't SQL; tests/llm holds the
-near-duplicate and the decontamination stage against brute-force versions, the others not yet.
+stages against brute-force versions.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from gatewright.llm import decontaminate, minhash, mixing, secret_scan, toxicity
 from gatewright.llm.storage import written
 
-#: Words of a shingle in the near-duplicate stage; op4_minhash_near_dedup takes the operator's four.
-NEAR_WIDTH = 5
 #: A row's key inside a stage.
 ROW = "__gatewright_row"
 
@@ -28,9 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates on five-word shingles, the document with the smallest id."""
-    gone = minhash.near_duplicates(docs, width=NEAR_WIDTH).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates on five-word shingles one row, that with the smallest id (rows without an id come
+    last; among rows of one id the first stays). Decided row by row: ids may be null or shared."""
+    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    found = minhash.near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    kept = keyed.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
