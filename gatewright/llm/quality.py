@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views: a text's content, and its page's metadata.
 
-The content view has statistics of the words themselves; the metadata view has source, language, size and
-layout (lines, separators), never the words. Both learn from a bounded sample of labelled rows. Over rounds,
+The content view has the words (hashed) and statistics of words and characters; the metadata view has what a
+page's record tells: source, language, size and number and length of lines, and nothing of what the text says. Both learn from a bounded sample of labelled rows. Over rounds,
 each gives its most confident labels for a bounded pool of unlabelled rows to the other. Labelled rows
 that neither learned from calibrate both views, and a logistic combination of the calibrated views scores
 every document.
@@ -25,8 +25,8 @@ from gatewright.llm.toxicity import held_out
 MAX_LABELLED, MAX_POOL, ROUNDS, PASSED = 20_000, 20_000, 5, 500
 #: Confidence below which a view passes nothing on.
 SURE = 0.95
-BUCKETS = 64
-N_TEXT, N_META = 14, 12 + BUCKETS
+BUCKETS, WORD_BUCKETS = 64, 128
+N_TEXT, N_META = 20 + WORD_BUCKETS, 5 + BUCKETS
 THRESHOLD = 0.5
 
 
@@ -62,11 +62,14 @@ def content(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         mean = np.bincount(row, lengths, minlength=n)[:n] / many
         spread = np.sqrt(np.maximum(np.bincount(row, lengths**2, minlength=n)[:n] / many - mean**2, 0))
         columns = [mean, spread, distinct / many, distinct / np.sqrt(many), np.bincount(row, again, minlength=n)[:n] / many, share(upper), share(digit), share(sign), share(twin), share(wide), share(lower), np.log1p(distinct), np.minimum(np.bincount(row, lengths > 24, minlength=n)[:n], 50) / many, np.minimum(many, 20)]
-        yield at, np.stack(columns, axis=1)
+        columns += [share(np.isin(raw, list(s))) for s in (b"|", b"!", b"#$%&*", b".?", b",;:", b" ")]
+        cell = row * WORD_BUCKETS + (h >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+        said = np.bincount(cell, minlength=n * WORD_BUCKETS)[: n * WORD_BUCKETS].reshape(n, WORD_BUCKETS)
+        yield at, np.hstack([np.stack(columns, axis=1), np.sqrt(said / many[:, None])])
 
 
 def metadata(batch_columns: list[pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
-    """From text (its layout alone), source and lang: N_META numbers per row."""
+    """From the text's size and lines, source and lang: N_META numbers per row."""
     text, source, lang = batch_columns
     named = [[str(v) for v in c.to_pylist()] for c in (source, lang)]
     for at, raw, offsets in pieces(text):
@@ -79,9 +82,7 @@ def metadata(batch_columns: list[pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
         gaps = np.diff(place).astype(float)
         owner = row[place[1:]] if len(place) > 1 else np.zeros(0, np.int64)
         short = np.bincount(owner, gaps < 20, minlength=n)[:n]
-        bar, bang, mark = (np.bincount(row, np.isin(raw, list(s)), minlength=n)[:n] for s in (b"|", b"!", b"#$%&*"))
-        stop, comma, space = (np.bincount(row, np.isin(raw, list(s)), minlength=n)[:n] for s in (b".?", b",;:", b" "))
-        dense = np.stack([np.log1p(size), np.log1p(lines), np.log1p(size / lines), short / lines, *(x / np.maximum(size, 1.0) for x in (bar, bang, mark, stop, comma, space)), (bar > 3).astype(float), np.log1p(size) ** 2], axis=1)
+        dense = np.stack([np.log1p(size), np.log1p(lines), np.log1p(size / lines), short / lines, np.log1p(size) ** 2], axis=1)
         hashed = np.zeros((n, BUCKETS))
         for names, salt in zip(named, (b"s", b"l"), strict=True):
             for i in range(n):
