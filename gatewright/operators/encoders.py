@@ -6,6 +6,7 @@ parameter. Without them, or without the runtime, scoring gives a null score and
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import unicodedata
@@ -220,6 +221,19 @@ _sessions: dict[str, object] = {}
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("error", T.StringType())])
 
 
+def _located(folder: str, name: str) -> Path:
+    """A model's file: in the folder, if workers see it, else as SparkContext.addFile(folder, recursive=True) spread it."""
+    direct = Path(folder, name)
+    if not direct.exists():
+        from pyspark import SparkFiles
+
+        with contextlib.suppress(Exception):  # a worker that was sent no files has no place for them
+            sent = Path(SparkFiles.get(Path(folder).name), name)
+            if sent.exists():
+                return sent
+    return direct
+
+
 def _session(path: str):
     """One per worker and model."""
     if path not in _sessions:
@@ -235,9 +249,10 @@ def _session(path: str):
     return _sessions[path]
 
 
-def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
-    """text -> struct<score, error>: the largest probability of an injection over the text's windows. Windows of a
-    whole Arrow batch go through the model together."""
+def encoder_scorer(kind: str, folder: str, batch: int = 64, most_chars: int | None = None) -> Callable[[Column], Column]:
+    """text -> struct<score, error>: the largest probability of an injection over the text's windows. Windows of an Arrow
+    batch go through the model together, batch at a time; texts are cut to most_chars before, if given. folder is a path
+    that workers see, or the name of one that addFile spread."""
     name, cut = KINDS[kind]
 
     @pandas_udf(SCORED)
@@ -246,13 +261,13 @@ def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
 
         problem, contract, encode = None, None, None
         try:
-            contract = Contract.load(Path(folder, name))
-            session = _session(str(Path(folder, contract.model_file)))
+            contract = Contract.load(_located(folder, name))
+            session = _session(str(_located(folder, contract.model_file)))
             if kind == "l5c":
-                pairs = BytePairs.load(Path(folder, "tokenizer.json"))
+                pairs = BytePairs.load(_located(folder, "tokenizer.json"))
                 encode = lambda t: pairs.encode(t, contract.max_len)
             else:
-                lines = Path(folder, "vocab.txt").read_text().split("\n")
+                lines = _located(folder, "vocab.txt").read_text().split("\n")
                 encode = WordPiece({t: i for i, t in enumerate(lines)}, contract).encode
         except (EncoderUnavailable, OSError, KeyError, TypeError, ValueError) as e:
             problem = f"{type(e).__name__}: {e}"
@@ -262,8 +277,8 @@ def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
                 continue
             flat = [(i, w) for i, ws in enumerate(windows) if ws is not None for w in ws]
             scores = np.full(len(windows), np.nan)
-            for at in range(0, len(flat), 64):
-                some = flat[at : at + 64]
+            for at in range(0, len(flat), batch):
+                some = flat[at : at + batch]
                 ids, mask = (np.array(x, np.int64) for x in zip(*(encode(w) for _, w in some), strict=True))
                 feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
                 logits = session.run([contract.output], {k: feeds[k] for k in contract.inputs})[0].astype(float)
@@ -272,4 +287,4 @@ def encoder_scorer(kind: str, folder: str) -> Callable[[Column], Column]:
                 np.fmax.at(scores, [i for i, _ in some], p)
             yield pd.DataFrame({"score": pd.Series([None if np.isnan(s) else float(s) for s in scores], dtype=object), "error": [None] * len(scores)})
 
-    return lambda text: run(cut(text))
+    return lambda text: run(cut(text if most_chars is None else F.substring(text, 1, most_chars)))

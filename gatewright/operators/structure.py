@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import secrets
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from gatewright.functions import dialect as D
 from gatewright.operators.normalize import Normalization, normalize
@@ -47,9 +50,13 @@ def fence(label: Column, content: Column, nonce: Column) -> Column:
     return F.concat(mark("DATA"), F.lit("\n"), safe, F.lit("\n"), mark("END"))
 
 
+def _nonces(rows: pd.Series) -> pd.Series:
+    return pd.Series([secrets.token_hex(12) for _ in range(len(rows))], dtype=object)
+
+
 def new_nonce() -> Column:
     """24 hex digits from the system's generator, drawn anew for every row (and again where a task is retried)."""
-    return F.udf(lambda: secrets.token_hex(12), "string").asNondeterministic()()
+    return pandas_udf(_nonces, StringType()).asNondeterministic()(F.spark_partition_id())
 
 
 def guard_preamble(nonce: Column) -> Column:

@@ -1,5 +1,6 @@
 """The firewall's cases, as rows through one job each."""
 
+import math
 import random
 import re
 import unicodedata
@@ -153,7 +154,6 @@ def test_scores(spark):
 
 def test_entropy_forms_agree(spark):
     wide = "".join(chr(0x4E00 + i % 700) for i in range(2000)) + "\U0001f600ab"
-    import math
     from collections import Counter
 
     units = len(wide) + 1
@@ -348,3 +348,38 @@ def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
     plan = seen._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,web)" in plan.split("PushedFilters:")[1].split("]")[0]
     assert plan.count("_nfkc(") == 1 and [r.doc_id for r in seen.collect()] == [0]
+
+
+@pytest.mark.parametrize("kind", ["l5b", "l5c", "l5d", "l5e"])
+def test_encoders_score_with_a_model(spark, tmp_path, kind):
+    """Against the same sums in plain Python: the mean logit of a window's ids, the largest chance over windows."""
+    from tests import tiny_model
+
+    tiny_model.write(str(tmp_path), kind)
+    texts = ["a b", "bad", "a bad b!", "a " * 300 + "bad", "bad " + "b " * 900, "c " * 420 + "bad " * 5 + "c " * 420, "", None]
+    rows = _frame(spark, [(t,) for t in texts], "text string")
+    piece = encoders.WordPiece({t: i for i, t in enumerate("[PAD] [UNK] [CLS] [SEP] a b c d e bad".split())}, encoders.Contract("tiny", 16, "", do_lower_case=True))
+    pairs = encoders.BytePairs({str(b): 4 + b % 5 for b in range(256)} | {"33": 300}, [])
+
+    def windows(t):
+        if kind in "l5b l5c" or len(t) <= 500:
+            return [t]
+        if kind == "l5e":
+            return [t[s : s + 500] for s in range(0, len(t) - 499, 250)]
+        return [t[:500], t[-500:], *([t[len(t) // 2 - 250 : len(t) // 2 + 250]] if len(t) > 1500 else [])]
+
+    def chance(t):
+        best = 0.0
+        for w in windows(t):
+            ids, _ = pairs.encode(w, 16) if kind == "l5c" else piece.encode(w)
+            best = max(best, 1 / (1 + math.exp(-40 * sum(i >= 9 for i in ids) / 16)))
+        return best
+
+    for options in ({}, {"batch": 3}, {"most_chars": 4000}):
+        got = [r.s for r in rows.select(encoders.encoder_scorer(kind, str(tmp_path), **options)(F.col("text")).alias("s")).collect()]
+        assert all(s is None or s.error is None for s in got)
+        assert [s and s.score for s in got][:-1] == pytest.approx([chance(t) for t in texts[:-1]], abs=1e-5) and (got[-1] is None or got[-1].score is None)
+    cut = rows.select(encoders.encoder_scorer(kind, str(tmp_path), most_chars=2)(F.col("text")).alias("s")).collect()
+    assert cut[1].s.score == pytest.approx(chance("ba"), abs=1e-5)
+    done = cascade.Cascade(encoders.encoder_scorer(kind, str(tmp_path)), kind).classify(rows).select("result.*").collect()
+    assert {r.stage for r in done} >= {"l5b-escalated"} and all(r.error is None for r in done)
