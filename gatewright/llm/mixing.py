@@ -2,8 +2,9 @@
 
 Slots of equal numbers of words get golden-ratio points; a point's place in the cumulative target
 weights gives the slot's source. Slots are ranked per source, each source's documents are shuffled and
-laid end to end (as often as its target needs), cut into blocks of the same number of words, and the
-block of a rank joins the slot of that rank.
+laid end to end (as often as its target needs, and no further than its target), cut into blocks of the
+same number of words, and the block of a rank joins the slot of that rank. A source gives its target's
+words, rounded, however small it is beside a slot.
 
 Prefix sums and ranks go in two steps (sums per bucket, then within a bucket), so that a source with a
 third of all rows is never one task's group; the only single-task windows run over bucket or source sums.
@@ -59,25 +60,42 @@ def block_words(total: int, most: int = BLOCK_WORDS, least_slots: int = LEAST_SL
     return max(1, min(most, total // least_slots))
 
 
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """slot, place, rank (of the slot among its source's slots, from 0)."""
+def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
+    """slot, place, rank (of the slot among its source's slots, from 0): one row for each block of `block` words that a
+    source's target asks for, whatever its size. A slot has one block.
+
+    Points give a source its share of the slots to within their discrepancy. Slots beyond the blocks of its target go
+    to the blocks that no point brought, in the order of an even spread of their sources; new slots hold the rest.
+    These are few for each source, whatever the number of slots.
+    """
     spark = targets.sparkSession
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     low = F.coalesce(F.sum("target").over(before), F.lit(0.0))
-    bands = targets.where("target > 0").select("place", (low / total).alias("low"), F.lead(low / total).over(Window.orderBy("place")).alias("high"))
+    quota = F.ceil(F.round("target") / block).alias("blocks")
+    bands = targets.where("target > 0").select("place", quota, (low / total).alias("low"), F.lead(low / total).over(Window.orderBy("place")).alias("high"))
     bands = bands.withColumn("high", F.coalesce("high", F.lit(2.0)))
     # A point's band is looked up by the hundredth it lies in: an equal join, whatever the number of sources.
     grid = 1 << 12
-    cells = bands.select("place", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))).alias("cell"))
+    cells = bands.select("place", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))).alias("cell"))
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
     points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * grid))
-    owned = points.join(cells, "cell").where("point >= low and point < high").select("slot", "place", F.floor(F.col("slot") / RANGE_SLOTS).alias("part"))
-    counts = owned.groupBy("place", "part").agg(F.count("*").alias("n"))
+    owned = points.join(cells, "cell").where("point >= low and point < high").select("slot", "place", "blocks", F.floor(F.col("slot") / RANGE_SLOTS).alias("part"))
+    counts = written(owned.groupBy("place", "blocks", "part").agg(F.count("*").alias("n")), "counts")
     start = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("place", "part", start.alias("start"))
-    within = F.row_number().over(Window.partitionBy("place", "part").orderBy("slot")) - 1
-    return owned.withColumn("within", within).join(starts, ["place", "part"]).select("slot", "place", (F.col("start") + F.col("within")).alias("rank"))
+    starts = counts.select("place", "part", "n", start.alias("start"), "blocks")
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("place", "part").orderBy("slot")) - 1
+
+    def ranked(ranges: DataFrame) -> DataFrame:
+        return owned.drop("blocks").join(ranges, ["place", "part"]).select("slot", "place", "blocks", rank.alias("rank"))
+
+    surplus = ranked(starts.where("start + n > blocks")).where("rank >= blocks")  # only a source's last ranges have any
+    free = surplus.select("slot", (F.row_number().over(Window.orderBy("slot")) - 1).alias("k"))
+    brought = bands.select("place", "blocks").join(counts.groupBy("place").agg(F.sum("n").alias("n")), "place", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lacking = brought.where("n < blocks").select("place", "blocks", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"))
+    lacking = lacking.withColumn("k", F.row_number().over(Window.orderBy((F.col("rank") + 0.5) / F.col("blocks"), "place")) - 1)
+    lacking = lacking.join(free, "k", "left").select(F.coalesce("slot", F.col("k") + slots).cast("long").alias("slot"), "place", "rank")
+    return ranked(starts).where("rank < blocks").select("slot", "place", "rank").unionByName(lacking)
 
 
 def mix(
@@ -121,12 +139,12 @@ def mix(
     inner = placed.where("size > 0").withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
     laid = inner.join(starts, ["place", "bucket"]).withColumn("at", F.col("start") + F.col("within"))
     epochs = F.sequence(F.lit(0), F.least(F.lit(max_epochs), F.ceil(F.col("target") / F.col("source_size") + 0.01).cast("int")) - 1)
-    copies = laid.withColumn("epoch", F.explode(epochs)).withColumn("first", F.col("at") + F.col("epoch") * F.col("source_size"))
-    last = F.col("first") + F.col("size") - 1
+    copies = laid.withColumn("epoch", F.explode(epochs)).withColumn("first", F.col("at") + F.col("epoch") * F.col("source_size")).where(F.col("first") < F.round("target"))
+    last = F.least(F.col("first") + F.col("size"), F.round("target").cast("long")) - 1  # the last block ends where the target does
     blocks = copies.withColumn("rank", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(last / block))))
     n = F.least(last + 1, (F.col("rank") + 1) * block) - F.greatest("first", F.col("rank") * block)
     parts = blocks.select("place", "rank", "row", "epoch", n.alias("n"))
-    pieces = schedule(targets, slot_count(total, block)).join(parts, ["place", "rank"])
+    pieces = schedule(targets, slot_count(total, block), block).join(parts, ["place", "rank"])
     taken = pieces.groupBy("row").agg(F.sum("n").alias("taken"))
     done = placed.join(taken, "row", "left")
     documents = done.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

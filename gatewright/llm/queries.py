@@ -139,26 +139,15 @@ ORACLES = {
             FROM fill WHERE level IS NOT NULL AND round < 40
         ), goal AS (
             SELECT source, place, source_size, least(3 * source_size, (SELECT max(level) FROM fill) * weight) AS target FROM rated
-        ), size_of AS (
-            SELECT sum(source_size)::BIGINT AS total, greatest(1, least(2048, sum(source_size)::BIGINT // 65536)) AS block FROM goal
-        ), band AS (
-            SELECT place, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS low,
-                coalesce(sum(target) OVER (ORDER BY place) / sum(target) OVER (), 2) AS upto
-            FROM goal WHERE target > 0
-        ), bands AS (SELECT place, low, coalesce(lead(low) OVER (ORDER BY place), 2) AS high FROM band
-        ), slots AS (
-            SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS point
-            FROM (SELECT unnest(range(0, (SELECT (total + block - 1) // block FROM size_of))) AS i)
-        ), won AS (SELECT place, count(*) AS n FROM slots JOIN bands ON point >= low AND point < high GROUP BY place
         ), laid AS (
-            SELECT doc_id, size, place, source_size, target,
+            SELECT doc_id, size, source_size, target,
                 coalesce(sum(size) OVER (PARTITION BY place ORDER BY md5(doc_id::VARCHAR || ':17') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
             FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source
         )
         SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-            (SELECT sum(greatest(0, least(size, coalesce(won.n, 0) * block - at_word - e * source_size)))
+            (SELECT sum(greatest(0, least(size, round(target) - at_word - e * source_size)))
                 FROM unnest([0, 1, 2]) AS u(e))::BIGINT AS taken
-        FROM laid LEFT JOIN won USING (place), size_of
+        FROM laid
     """,
     "op4_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (

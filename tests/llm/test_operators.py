@@ -231,6 +231,28 @@ def test_mixing_of_many_rows_of_one_id(spark, monkeypatch):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * mixing.block_words(2100, least_slots=64) and all(r.taken <= 3 * r.size for r in own)
 
 
+def test_mixing_gives_every_source_its_target(spark):
+    """Sources far smaller than a slot get their words as well, each slot holds one block, and every stretch of the mix has the shares asked for."""
+    sizes = {"a": 1, "b": 3, "c": 40, "d": 3000, "e": 9000, None: 2}
+    table = spark.createDataFrame([(i, "w " * (n // k), s) for i, (s, n, k) in enumerate((s, n, k) for s, n in sizes.items() for k in [max(1, n // 10)] for _ in range(k))], "doc_id long, text string, source string")
+    documents, pieces = mixing.mix(table, most_block_words=50, least_slots=1)
+    rows = documents.collect()
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.source_size, r.target] += r.taken
+    assert len(taken) >= 5 and all(n == round(t) for (_, t), n in taken.items()) and all(r.taken <= 3 * r.size for r in rows)
+    placed = pieces.groupBy("slot", "place").sum("n").collect()
+    assert len({p.slot for p in placed}) == len(placed) and max(p["sum(n)"] for p in placed) <= 50
+    words_of, end = defaultdict(int), max(p.slot for p in placed)
+    for p in placed:
+        words_of[p.place] += p["sum(n)"]
+    for upto in (end // 4, end // 2, end):
+        own = defaultdict(int)
+        for p in placed:
+            own[p.place] += p["sum(n)"] * (p.slot < upto)
+        assert all(abs(own[k] - n * upto / end) <= 5 * 50 for k, n in words_of.items())
+
+
 def test_byte_repeats_of_too_long_strings(docs):
     with pytest.raises(ValueError, match="200"):
         suffix_array.repeated_bytes(docs, length=300)
